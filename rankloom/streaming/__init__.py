@@ -1,0 +1 @@
+"""Left empty on purpose: every query here is a batch query, so there is no stream source or state."""
