@@ -1,0 +1,204 @@
+"""The worked answers for the twelve-row chart."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+
+from rankloom import fixed_values as fixed
+from rankloom.operators import clean, feature_points, histogram, ranked_share
+from rankloom.plans import views
+from rankloom.sources import read_chart_csv
+from tests import golden
+
+
+@pytest.fixture(scope="module")
+def raw(spark, tmp_path_factory):
+    return read_chart_csv(spark, golden.write(tmp_path_factory.mktemp("golden")), golden.COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def songs(raw):
+    return clean(raw, fixed.CORRECTIONS, fixed.DROPPED_YEARS).cache()
+
+
+def rows(df, *columns):
+    return [tuple(row) for row in df.select(*columns).collect()]
+
+
+def test_reading_keeps_blank_text_and_nulls_blank_numbers(raw):
+    found = {row.artist: row for row in raw.where("artist in ('Hal', 'Gus')").collect()}
+    assert raw.count() == 12
+    assert found["Hal"].title == ""
+    assert raw.where("year_released is null").count() == 1
+
+
+def test_clean(songs):
+    assert songs.count() == 10
+    assert songs.where("artist = 'Gus'").count() == 0
+    assert sorted(rows(songs.where("title in ('Gold', 'Easier')"), "title", "year_released")) == [
+        ("Easier", 2019), ("Gold", 2015), ("Gold", 2015),
+    ]
+
+
+def test_genre_table_and_sub_groups(songs):
+    assert rows(views.genre_table(songs), "genre_group", "sub_group", "genre", "count") == [
+        ("Electronic/Dance", "Electronic/Dance", "tropical house", 1),
+        ("Hip Hop/Rap", "Mainstream Hip Hop", "trap music", 2),
+        ("Jazz/Blues", "Jazz/Blues", "jazz blues", 1),
+        ("Other", "Indie/Alternative", "indietronica", 1),
+        ("Other", "Pop Variants", "permanent wave", 1),
+        ("Other", "boy band", "boy band", 1),
+        ("Pop", "Modern Pop", "dance pop", 1),
+        ("Pop", "Modern Pop", "pop rap", 2),
+    ]
+
+
+def test_nine_label_rules_have_no_jazz(songs):
+    groups = dict(rows(views.popular_genre_groups(songs, 9), "genre_group", "total_popularity"))
+    assert groups == {"Pop": 200, "Other": 148, "Hip Hop/Rap": 100, "Electronic/Dance": 80}
+
+
+def test_genre_tree(songs):
+    tree = json.loads(views.genre_tree(songs).first().json)
+    assert tree["name"] == "Genres"
+    assert [group["name"] for group in tree["children"]] == [
+        "Electronic/Dance", "Hip Hop/Rap", "Jazz/Blues", "Other", "Pop",
+    ]
+    assert tree["children"][4]["children"] == [
+        {"name": "Modern Pop", "children": [{"name": "dance pop", "size": 1}, {"name": "pop rap", "size": 2}]}
+    ]
+
+
+def test_artist_types(songs):
+    assert dict(rows(views.unique_artists_by_type(songs), "artist_type", "count")) == {
+        "Band/Group": 1, "Duo": 1, "Solo": 4, "Trio": 1,
+    }
+    assert rows(views.songs_by_type(songs), "artist_type", "count") == [
+        ("Solo", 5), ("Band/Group", 2), ("Duo", 2), ("Trio", 1),
+    ]
+    expected = {
+        (2011, "Band/Group"): (1, 1), (2011, "Duo"): (1, 2), (2011, "Solo"): (1, 1), (2012, "Band/Group"): (1, 1),
+        (2012, "Solo"): (1, 1), (2012, "Trio"): (1, 1), (2015, "Solo"): (1, 2), (2019, "Solo"): (1, 1),
+    }
+    keys = ("year_released", "artist_type", "count")
+    unique = {(y, t): n for y, t, n in rows(views.unique_artists_by_type_and_year(songs), *keys)}
+    every = {(y, t): n for y, t, n in rows(views.songs_by_type_and_year(songs), *keys)}
+    assert {key: (unique[key], every[key]) for key in every} == expected
+
+
+def test_artist_types_by_popularity(songs):
+    assert rows(views.artist_type_popularity(songs), "artist_type", "total_popularity") == [
+        ("Solo", 313), ("Duo", 100), ("Band/Group", 60), ("Trio", 55),
+    ]
+    assert rows(views.artist_type_popularity(songs, "Each Year"), "chart_year", "artist_type", "total_popularity")[
+        :3
+    ] == [(2011, "Band/Group", 60), (2011, "Duo", 60), (2011, "Solo", 60)]
+
+
+def test_top_songs_counts_a_song_once(songs):
+    top = views.popular_songs(songs, 3)
+    assert rows(top, "position", "title", "year_released", "pop", "unique_title") == [
+        (1, "Easier", 2019, 80, "Easier by Ivy"),
+        (2, "Gold", 2015, 70, "Gold by Ann"),
+        (3, "Defeat the Night", 2011, 60, "Defeat the Night by Cy & Di"),
+    ]
+    assert top.first().text == "Song:  Easier <br>Artist:  Ivy <br>Popularity:  80"
+    assert rows(views.popular_songs(songs, 2, direction="Bottom"), "title", "pop") == [("Night Night", 0), ("", 33)]
+
+
+def test_more_songs_asked_than_there_are(songs):
+    assert views.popular_songs(songs, 50).count() == 9
+
+
+def test_bottom_artists(songs):
+    assert rows(views.popular_artists(songs, 2, direction="Bottom"), "artist", "total_popularity") == [
+        ("Hal", 33), ("Fay Trio", 55),
+    ]
+
+
+def shares(df, period, name):
+    return sorted((r[period], r.rn, r[name], r.total_popularity, r.yearly_total_popularity) for r in df.collect())
+
+
+def test_song_shares_by_release_year_do_not_sum_repeats(songs):
+    assert shares(views.popular_songs(songs, 2, "Release Years"), "year_released", "title") == [
+        (2011, 1, "Defeat the Night", 60, 220), (2011, 2, "Don't Stop", 60, 220),
+        (2012, 1, "Blue Night", 55, 88), (2012, 2, "", 33, 88),
+        (2015, 1, "Gold", 70, 70), (2019, 1, "Easier", 80, 80),
+    ]
+
+
+def test_genre_shares_by_release_year(songs):
+    ranked = views.popular_genres(songs, 2, "Release Years")
+    assert shares(ranked, "year_released", "genre") == [
+        (2011, 1, "trap music", 100, 220), (2011, 2, "boy band", 60, 220),
+        (2012, 1, "jazz blues", 55, 88), (2012, 2, "indietronica", 33, 88),
+        (2015, 1, "pop rap", 140, 140), (2019, 1, "tropical house", 80, 80),
+    ]
+    first = ranked.where("year_released = 2011 and rn = 1").first()
+    assert first.prop == 100 / 220
+    assert first.text == "Genre: trap music <br>Popularity: 100 <br>Year: 2011"
+
+
+def test_genres_in_group_keep_ties(spark, songs):
+    assert rows(views.popular_genres_in_group(songs, "Other", 1), "genre", "total_popularity") == [("boy band", 60)]
+    tied = songs.union(songs.where("genre = 'boy band'").replace("boy band", "zydeco", "genre"))
+    found = views.popular_genres_in_group(tied, "Other", 1)
+    assert sorted(rows(found, "genre", "total_popularity")) == [("boy band", 60), ("zydeco", 60)]
+
+
+def test_title_words(songs):
+    found = dict(rows(views.title_words(songs), "word", "freq"))
+    assert found == {"night": 3, "gold": 2, "blue": 1, "dont": 1, "easier": 1, "hey": 1, "stop": 1}
+
+
+def test_histogram_edges(songs):
+    plain = histogram(songs, {"bpm": 10}, include_lowest=False)
+    assert dict(rows(plain, "bin", "count")) == {80: 1, 90: 2, 100: 4, 110: 1, 120: 1, 130: 1}
+    moved = histogram(songs, {"bpm": 10})
+    assert dict(rows(moved, "bin", "count")) == {90: 3, 100: 4, 110: 1, 120: 1, 130: 1}
+
+
+def test_histogram_empty_bins_and_single_value(spark):
+    df = spark.createDataFrame([(10, 5), (12, 5), (60, 5)], "a int, b int")
+    found = {(f, b): n for f, b, n in rows(histogram(df, {"a": 10, "b": 10}), "feature", "bin", "count")}
+    assert found == {("a", 10): 2, ("a", 20): 0, ("a", 30): 0, ("a", 40): 0, ("a", 50): 0, ("a", 60): 1,
+                     ("b", 10): 3}
+    assert histogram(df, {"a": 10}, empty_bins=False).count() == 2
+
+
+def test_histogram_with_very_many_empty_bins(spark):
+    df = spark.createDataFrame([(0,), (123_456,)], "a int")
+    found = histogram(df, {"a": 1})
+    assert found.count() == 123_457
+    assert found.where("count > 0").count() == 2
+
+
+def test_feature_points(songs):
+    points = feature_points(songs, ["title"], ["bpm", "year_released"])
+    assert points.count() == 20
+    assert rows(points.where("feature = 'bpm' and title = 'Easier'"), "value", "pop") == [(126, 80)]
+
+
+def test_share_of_a_zero_total_is_null(spark):
+    df = spark.createDataFrame([(2001, "a", 0), (2001, "b", 0)], "year int, name string, pop int")
+    assert [row.prop for row in ranked_share(df, "year", ["name"], 2).collect()] == [None, None]
+
+
+def test_a_null_period_is_a_period(spark):
+    df = spark.createDataFrame([(None, "a", 3), (None, "b", 1), (1, "a", 5)], "year int, name string, pop int")
+    found = {(r.year, r.name): r.prop for r in ranked_share(df, "year", ["name"], 5).collect()}
+    assert found == {(None, "a"): 0.75, (None, "b"): 0.25, (1, "a"): 1.0}
+
+
+def test_time_frames_and_directions_are_checked(songs):
+    with pytest.raises(ValueError):
+        views.popular_artists(songs, frame="Sometimes")
+    with pytest.raises(ValueError):
+        views.popular_artists(songs, frame="Release Years + Top Years")
+    with pytest.raises(ValueError):
+        views.popular_artists(songs, direction="Middle")
+    with pytest.raises(ValueError):
+        views.popular_artists(songs, n=0)
