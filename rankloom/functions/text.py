@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+WHITE_SPACE = "\t\n\x0b\f\r"
+
 
 def cut_at(text: Column, pattern: str) -> Column:
     """Everything before the first match of `pattern`, ignoring case; also inside a word."""
@@ -12,6 +16,7 @@ def cut_at(text: Column, pattern: str) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words of a text, in order, without ASCII punctuation and digits."""
-    bare = F.regexp_replace(F.lower(text), r"[\p{Punct}\d]+", "")
-    return F.split(F.trim(bare), r"\s+")
+    """Lower-case words of a text, in order, without ASCII punctuation and digits. Runs of white space give
+    empty words."""
+    spaced = F.translate(F.lower(text), WHITE_SPACE + string.punctuation + string.digits, " " * len(WHITE_SPACE))
+    return F.split(spaced, " ")

@@ -21,9 +21,15 @@ def _keys(order: Sequence[str]) -> list[tuple[str, bool]]:
 
 
 def sort_table(df: DataFrame, *order: str) -> DataFrame:
-    """Sort by columns; a leading minus means descending. Nulls come last."""
+    """Sort by columns; a leading minus means descending. Nulls come last.
+
+    Equal rows go by the other columns, ascending. That makes the order certain, and lets Spark cut a value
+    that much of the table shares into several partitions.
+    """
+    named = _keys(order)
+    others = [(name, True) for name in df.columns if name not in dict(named)]
     return df.orderBy(
-        *(F.col(name).asc_nulls_last() if up else F.col(name).desc_nulls_last() for name, up in _keys(order))
+        *(F.col(name).asc_nulls_last() if up else F.col(name).desc_nulls_last() for name, up in [*named, *others])
     )
 
 

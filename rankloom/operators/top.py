@@ -53,16 +53,26 @@ def top_k_rows(
     return _first_n(candidates, rank_order(measure, [*ties, *others], direction), n)
 
 
+def _first_within(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rn") <= n)
+
+
 def rank_within(
     df: DataFrame, period: str, measure: str, ties: Sequence[str], n: int, direction: str = "top"
 ) -> DataFrame:
     """Keep the first N rows of each period and number them in `rn`.
 
-    Spark cuts every input partition to N rows per period before the shuffle, so a period that holds most of
-    the table still sends only N rows per partition.
+    Up to Spark's group-limit threshold every input partition is cut to N rows per period before the shuffle,
+    so a period that holds most of the table still sends only N rows per partition. Beyond it, periods are cut
+    in slices first, so that no task sorts a whole period.
     """
-    window = Window.partitionBy(period).orderBy(*rank_order(measure, ties, direction))
-    return df.withColumn("rn", F.row_number().over(window)).where(F.col("rn") <= check_count(n))
+    order = rank_order(measure, ties, direction)
+    spark = df.sparkSession
+    if check_count(n) > int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*ties), F.lit(slices)))
+        df = _first_within(sliced, [period, "_slice"], order, n).drop("_slice", "rn")
+    return _first_within(df, [period], order, n)
 
 
 def top_k_per_period(

@@ -35,6 +35,7 @@ from rankloom.sources import (
     read_table,
     scratch_folder,
     songs_from_orders,
+    spread,
     write_csv,
     write_json,
     write_table,
@@ -49,7 +50,7 @@ def _on_songs(view: Callable[..., DataFrame], columns: str, *args, **options) ->
 
 
 def _on_table(table: str, build: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, folder: build(read_table(spark, folder, table))
+    return lambda spark, folder: build(spread(read_table(spark, folder, table)))
 
 
 def _word_table(table: str, column: str, cut: str | None) -> Query:
@@ -156,7 +157,7 @@ def genre_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 def documents_by_group(spark: SparkSession, folder: str) -> DataFrame:
     """The ten-label rules over whole texts."""
-    text = read_table(spark, folder, "documents").select(
+    text = spread(read_table(spark, folder, "documents")).select(
         "lang", first_match(F.col("text"), fixed.GROUP_RULES_10, fixed.DEFAULT_GROUP).alias("genre_group")
     )
     return counts(text, "lang", "genre_group")
@@ -356,7 +357,7 @@ def queries() -> dict[str, Query]:
             lambda s: histogram(s, _feature_widths(), empty_bins=False, include_lowest=False), FEATURE_COLUMNS
         ),
         "price_histogram": lambda spark, folder: histogram(
-            read_table(spark, folder, "orders").select("o_totalprice"), {"o_totalprice": 500}
+            spread(read_table(spark, folder, "orders")).select("o_totalprice"), {"o_totalprice": 500}
         ),
         "feature_points": _on_songs(
             lambda s: feature_points(s, [], FEATURE_COLUMNS.split()), f"{FEATURE_COLUMNS} pop"

@@ -2,13 +2,15 @@
 
 from rankloom.sources.csv import read_chart_csv
 from rankloom.sources.sinks import scratch_folder, write_csv, write_json, write_table
-from rankloom.sources.songs import read_table, songs_from_orders
+from rankloom.sources.songs import songs_from_orders
+from rankloom.sources.tables import read_table, spread
 
 __all__ = [
     "read_chart_csv",
     "read_table",
     "scratch_folder",
     "songs_from_orders",
+    "spread",
     "write_csv",
     "write_json",
     "write_table",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.sources.tables import read_table
+
 # Songs column -> (tables it needs besides lineitem, expression). The SQL twin is in plans/oracle.py.
 SONG_COLUMNS = {
     "title": (["part"], "p_name"),
@@ -32,10 +34,6 @@ JOINS = {
 }
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 def songs_from_orders(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """The asked songs columns. Only the tables they need are joined.
 
