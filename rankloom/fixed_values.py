@@ -110,6 +110,9 @@ FRAMES = {
     "each year + release year": "chart_years_by_release_year",
 }
 
+# Rows per page of the three result tables.
+PAGE_LENGTHS = {"years": 11, "words": 10, "genres": 7}
+
 # Where a title is cut for the word counts, and words that never count there.
 TITLE_CUT = "feat|with"
 TITLE_STOP_WORDS = ["radio", "remix", "edit"]

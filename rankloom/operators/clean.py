@@ -7,7 +7,9 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A correction table given as a dict lives on the driver; up to this many entries it is broadcast.
+# A dict of corrections lives on the driver. Up to LITERAL_CORRECTIONS entries it becomes part of the expression,
+# up to BROADCAST_CORRECTIONS a broadcast table; beyond that Spark picks the join.
+LITERAL_CORRECTIONS = 50
 BROADCAST_CORRECTIONS = 100_000
 
 
@@ -22,9 +24,12 @@ def apply_corrections(
     A DataFrame of corrections (columns `key` and `value`) may be of any size: Spark picks the join from
     its measured size and splits hot keys. Its keys must be unique; a repeated key fails the job.
     """
+    if isinstance(corrections, Mapping) and len(corrections) <= LITERAL_CORRECTIONS:
+        fixed = F
+        for name, new in corrections.items():
+            fixed = fixed.when(F.col(key) == name, F.lit(new))
+        return df if fixed is F else df.withColumn(value, fixed.otherwise(F.col(value)))
     if isinstance(corrections, Mapping):
-        if not corrections:
-            return df
         schema = f"`{key}` string, _corrected int"
         fixes = df.sparkSession.createDataFrame(list(corrections.items()), schema)
         if len(corrections) <= BROADCAST_CORRECTIONS:

@@ -4,29 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Empty bins are made in two steps of at most this many, so a wide range never becomes one huge array.
 BINS_PER_STEP = 10_000
 
 
-def _width(widths: Mapping[str, int]) -> Column:
-    """Bin width of the row's feature, as a column."""
-    width = F
-    for name, size in widths.items():
-        width = width.when(F.col("feature") == name, F.lit(size))
-    return width.otherwise(F.lit(None).cast("int"))
-
-
 def _bins(df: DataFrame, widths: Mapping[str, int], *others: str) -> DataFrame:
     """(others..., feature, value, width, bin): bins are right-closed and centred on multiples of the width."""
-    values = [F.col(name).cast("double").alias(name) for name in widths]
-    long = df.select(*others, *values).unpivot(list(others), list(widths), "feature", "value").dropna()
-    sized = long.withColumn("width", _width(widths))
-    return sized.withColumn(
-        "bin", F.ceil((F.col("value") - F.col("width") / 2) / F.col("width")).cast("long") * F.col("width")
-    )
+    long = [cell for name, width in widths.items() for cell in (F.lit(name), F.col(name).cast("double"), F.lit(width))]
+    values = df.select(*others, F.stack(F.lit(len(widths)), *long).alias("feature", "value", "width"))
+    number = F.ceil((F.col("value") - F.col("width") / 2) / F.col("width")).cast("long")
+    return values.dropna(subset=["value"]).withColumn("bin", number * F.col("width"))
 
 
 def histogram(

@@ -284,6 +284,18 @@ def queries() -> dict[str, Query]:
                 after={"c_mktsegment": "BUILDING", "c_custkey": 100},
             ),
         ),
+        "year_table": _on_songs(views.year_table, "year_released", ["-count", "year_released"]),
+        "title_word_table": _on_songs(views.word_table, "title", "R", number=2),
+        "genre_groupings": _on_songs(
+            views.genre_groupings,
+            "genre",
+            "o",
+            ["-count", "genre"],
+            2,
+            part_rules.PART_RULES,
+            part_rules.PART_LISTS,
+            part_rules.PART_DEFAULTS,
+        ),
         # classification and hierarchy
         "classified_parts": _on_table(
             "part", lambda df: _classified(df.select("p_partkey", F.col("p_name").alias("genre")))

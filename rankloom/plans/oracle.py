@@ -230,6 +230,16 @@ SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_mktsegment, c_cu
 SELECT c_custkey, c_name, c_mktsegment FROM customer
 WHERE c_mktsegment > 'BUILDING' OR (c_mktsegment = 'BUILDING' AND c_custkey < 100)
 ORDER BY c_mktsegment, c_custkey DESC LIMIT 10""",
+        "year_table": f"""
+SELECT year_released, count(*) AS count FROM {_songs("year_released")} GROUP BY ALL
+ORDER BY count DESC, year_released LIMIT 11""",
+        "title_word_table": f"""
+SELECT * FROM ({_words(_songs("title"), "title", True)}) WHERE contains(word || ' ' || freq, 'r')
+ORDER BY freq DESC, word LIMIT 10 OFFSET 10""",
+        "genre_groupings": f"""
+SELECT * FROM ({_genre_table()})
+WHERE contains(lower(genre_group || ' ' || sub_group || ' ' || genre || ' ' || count), 'o')
+ORDER BY count DESC, genre LIMIT 7 OFFSET 7""",
         "classified_parts": f"""
 SELECT p_partkey, genre, genre_group, short_group, {_sub_group()} AS sub_group
 FROM (SELECT p_partkey, p_name AS genre, {_group(rules, "p_name")} AS genre_group,

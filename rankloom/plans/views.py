@@ -25,7 +25,9 @@ from rankloom.operators import (
     hierarchy,
     hierarchy_json,
     histogram,
+    page,
     ranked_share,
+    search,
     top_k,
     top_k_per_period,
     top_k_rows,
@@ -77,6 +79,18 @@ def popular_songs(songs: DataFrame, n: int = 3, frame: str = "All Time", directi
     return _labelled(ranked, "title", 15, "song_chart_year")
 
 
+def year_table(songs: DataFrame, order: Sequence[str] = ("year_released",), number: int = 1) -> DataFrame:
+    """One page of the songs-per-year table."""
+    return page(counts(songs, "year_released"), order, fixed.PAGE_LENGTHS["years"], number)
+
+
+def word_table(
+    songs: DataFrame, text: str = "", order: Sequence[str] = ("-freq", "word"), number: int = 1
+) -> DataFrame:
+    """One page of the title words, most frequent first, that match the search text."""
+    return page(search(title_words(songs), text), order, fixed.PAGE_LENGTHS["words"], number)
+
+
 def _chosen(features: Iterable[str] | None) -> list[tuple[str, int, str, str]]:
     by_name = {feature[0]: feature for feature in fixed.FEATURES}
     return [by_name[name] for name in (by_name if features is None else features)]
@@ -127,6 +141,20 @@ def genre_tree(
     return hierarchy_json(hierarchy(songs, rules, lists, defaults, fixed.DEFAULT_GROUP))
 
 
+def genre_groupings(
+    songs: DataFrame,
+    text: str = "",
+    order: Sequence[str] = ("genre_group", "sub_group", "genre"),
+    number: int = 1,
+    rules: Rules = fixed.GROUP_RULES_10,
+    lists: dict = fixed.SUB_GROUPS,
+    defaults: dict = fixed.SUB_GROUP_DEFAULTS,
+) -> DataFrame:
+    """One page of the genre table, searched and sorted."""
+    table = hierarchy(songs, rules, lists, defaults, fixed.DEFAULT_GROUP)
+    return page(search(table, text), order, fixed.PAGE_LENGTHS["genres"], number)
+
+
 def _with_group(df: DataFrame, rules: Rules) -> DataFrame:
     return df.withColumn("genre_group", first_match(F.col("genre"), rules, fixed.DEFAULT_GROUP))
 

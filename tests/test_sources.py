@@ -46,6 +46,14 @@ def test_cleaning_order(spark):
     assert found == [("Gold", 2015), ("Other", 1999)]
 
 
+def test_corrections_of_every_size_agree(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 1), (None, 3)], "title string, year_released int")
+    for more in (0, 60):
+        found = apply_corrections(df, {"a": 9, **{f"other {i}": i for i in range(more)}})
+        assert sorted((str(r.title), r.year_released) for r in found.collect()) == [("None", 3), ("a", 9), ("b", 1)]
+    assert apply_corrections(df, {}).count() == 3
+
+
 def test_corrections_from_a_table(spark):
     df = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2), (None, 3)], "title string, year_released int")
     fixes = spark.createDataFrame([("a", 9), ("z", 8)], "title string, year_released int")
