@@ -47,7 +47,7 @@ def hierarchy_json(table: DataFrame, root: str = "Genres", max_leaves: int = MAX
 
     The number of genres is checked before any of them are gathered.
     """
-    total = table.agg(F.count("*")).scalar()
+    total = table.agg(F.count("count")).scalar()
     leaves = table.where(
         F.assert_true(total <= max_leaves, F.lit("too many genres for one document")).isNull()
     )

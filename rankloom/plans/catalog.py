@@ -50,12 +50,12 @@ def _on_songs(view: Callable[..., DataFrame], columns: str, *args, **options) ->
 
 
 def _on_table(table: str, build: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, folder: build(spread(read_table(spark, folder, table)))
+    return lambda spark, folder: build(read_table(spark, folder, table))
 
 
 def _word_table(table: str, column: str, cut: str | None) -> Query:
     stop_words = [*fixed.ENGLISH_STOP_WORDS, *fixed.TITLE_STOP_WORDS]
-    return _on_table(table, lambda df: word_counts(df, column, stop_words, cut=cut))
+    return _on_table(table, lambda df: word_counts(spread(df), column, stop_words, cut=cut))
 
 
 # ---- cleaning and files ----
@@ -369,7 +369,7 @@ def queries() -> dict[str, Query]:
             lambda s: histogram(s, _feature_widths(), empty_bins=False, include_lowest=False), FEATURE_COLUMNS
         ),
         "price_histogram": lambda spark, folder: histogram(
-            spread(read_table(spark, folder, "orders")).select("o_totalprice"), {"o_totalprice": 500}
+            read_table(spark, folder, "orders").select("o_totalprice"), {"o_totalprice": 500}
         ),
         "feature_points": _on_songs(
             lambda s: feature_points(s, [], FEATURE_COLUMNS.split()), f"{FEATURE_COLUMNS} pop"

@@ -209,7 +209,8 @@ def popular_genres_in_group(
     inside = F.col("genre_group") == group
     if frame == "all_time":
         top = top_k_with_ties(_genre_totals(songs, rules).where(inside), ["genre"], n)
-        return _told(top.withColumn("label", wrap_words(F.col("genre"), 15)), "genre_in_group")
+        top = top.withColumn("label", wrap_words(F.col("genre"), 15)).orderBy(F.desc("total_popularity"), "genre")
+        return _told(top, "genre_in_group")
     period = "year_released" if frame == "release_years" else "chart_year"
     ranked = ranked_share(_genre_totals(songs, rules, period).where(inside), period, ["genre"], n)
     return _labelled(
