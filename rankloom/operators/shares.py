@@ -33,7 +33,9 @@ def ranked_share(
     if repeats:
         grouped = totals(df, period, *entity, measure=measure)
     else:
-        grouped = df.select(period, *entity, F.col(measure).cast("long").alias("total_popularity")).distinct()
+        whole = dict(df.dtypes)[measure] in ("tinyint", "smallint", "int")
+        score = F.col(measure).cast("bigint") if whole else F.col(measure)
+        grouped = df.select(period, *entity, score.alias("total_popularity")).distinct()
     per_period = grouped.groupBy(F.col(period).alias("_period")).agg(
         F.sum("total_popularity").alias("yearly_total_popularity")
     )

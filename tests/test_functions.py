@@ -71,6 +71,13 @@ def test_first_rule_wins(spark):
     assert len(fixed.GROUP_RULES_9) == len(fixed.GROUP_RULES_10) - 1
 
 
+def test_rules_may_be_regular_expressions(spark):
+    rules = [("^pop$", "Only pop"), ("k.pop|j.pop", "Asian"), ("pop", "Pop")]
+    assert groups(spark, ["POP", "K-Pop", "Pop rap", "jazz"], rules) == {
+        "POP": "Only pop", "K-Pop": "Asian", "Pop rap": "Pop", "jazz": "Other",
+    }
+
+
 def test_every_listed_genre_resolves(spark):
     """Each listed genre gets its first list's label, or is dead because its group is another one."""
     rows = [(group, genre, label) for group, lists in fixed.SUB_GROUPS.items() for label, names in lists

@@ -187,6 +187,12 @@ def test_share_of_a_zero_total_is_null(spark):
     assert [row.prop for row in ranked_share(df, "year", ["name"], 2).collect()] == [None, None]
 
 
+def test_distinct_shares_keep_fractions(spark):
+    df = spark.createDataFrame([(1, "a", 0.5), (1, "a", 0.5), (1, "b", 1.5)], "year int, name string, score double")
+    found = ranked_share(df, "year", ["name"], 5, measure="score", repeats=False)
+    assert {r.name: (r.total_popularity, r.prop) for r in found.collect()} == {"a": (0.5, 0.25), "b": (1.5, 0.75)}
+
+
 def test_a_null_period_is_a_period(spark):
     df = spark.createDataFrame([(None, "a", 3), (None, "b", 1), (1, "a", 5)], "year int, name string, pop int")
     found = {(r.year, r.name): r.prop for r in ranked_share(df, "year", ["name"], 5).collect()}

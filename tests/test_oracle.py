@@ -28,6 +28,39 @@ def test_query_matches_sql(spark, duck, name):
     assert differences(driver.queries()[name](spark, FOLDER), duck, driver.oracle_sql()[name]) is None
 
 
+# Settings under which the small test tables are joined as very large ones would be.
+LARGE = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+    "spark.sql.shuffle.partitions": "9",
+}
+
+
+@pytest.fixture
+def as_large(spark):
+    before = {key: spark.conf.get(key, None) for key in LARGE}
+    for key, value in LARGE.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        if value is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("name", [
+    "corrected_by_table", "distinct_songs", "genre_tree", "unique_artists_by_type_and_year", "top_songs",
+    "top_genres_in_group_with_ties", "share_top_songs_by_release_year", "share_bottom_artists_of_type_by_chart_year",
+    "feature_histograms",
+])
+def test_shuffled_and_split_joins_give_the_same(spark, duck, as_large, name):
+    assert differences(driver.queries()[name](spark, FOLDER), duck, driver.oracle_sql()[name]) is None
+
+
 def test_differences_are_seen(spark, duck):
     df = driver.queries()["songs_by_type"](spark, FOLDER)
     changed = driver.oracle_sql()["songs_by_type"].replace("count(*)", "count(*) + 1")
