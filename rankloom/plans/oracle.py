@@ -125,8 +125,10 @@ def _words(table: str, column: str, cut: bool) -> str:
     bare = f"regexp_replace(regexp_replace(lower({text}), '[[:punct:]]+', '', 'g'), '[0-9]+', '', 'g')"
     return f"""
 SELECT word, count(*) AS freq
-FROM (SELECT unnest(string_split_regex(trim({bare}), '\\s+')) AS word FROM {table})
-WHERE length(word) >= 3 AND word NOT IN ({stop}) GROUP BY word"""
+FROM (SELECT array_to_string(list_filter(regexp_extract_all(token, '[\\pL\\pN_]+|[^\\pL\\pN_]+'),
+                                         lambda part: part NOT IN ({stop})), '') AS word
+      FROM (SELECT unnest(string_split_regex(trim({bare}), '\\s+')) AS token FROM {table}))
+WHERE length(word) >= 3 GROUP BY word"""
 
 
 def _genre_table() -> str:

@@ -54,6 +54,13 @@ def test_words_count_repeats_and_stop_words(spark):
     assert [tuple(row) for row in found.collect()] == [("night", 3)]
 
 
+def test_stop_words_inside_signs_go_too(spark):
+    texts = ["It’s The–Night", "you’re élan", "they", "theéatre"]
+    df = spark.createDataFrame([(text,) for text in texts], "title string")
+    found = {row.word: row.freq for row in word_counts(df, stop_words=fixed.ENGLISH_STOP_WORDS).collect()}
+    assert found == {"–night": 1, "’re": 1, "élan": 1, "theéatre": 1}
+
+
 def groups(spark, genres, rules):
     return dict(zip(genres, values(spark, lambda c: first_match(c, rules, "Other"), genres)))
 
