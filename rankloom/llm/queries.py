@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import byte_bpe
+from rankloom.llm import byte_bpe, simhash
 from rankloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, folder, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     done = byte_bpe.decode(byte_bpe.encode(read(spark, folder, "documents")))
     return done.select(
