@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import byte_bpe, simhash
+from rankloom.llm import byte_bpe, simhash, url_rules
 from rankloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op1_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(read(spark, folder, "pages"), rules)
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
@@ -31,4 +45,21 @@ def queries() -> dict[str, Query]:
     return {name: query for name, query in globals().items() if name.startswith("op")}
 
 
-SQL: dict[str, str] = {}
+_FITS = " ".join(
+    f"WHEN (host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '{path}') THEN {{}}"
+    for host, path, _ in sorted(URL_RULES, key=lambda rule: -len(rule[0] + rule[1]))
+)
+_RULES = sorted(URL_RULES, key=lambda rule: -len(rule[0] + rule[1]))
+
+SQL: dict[str, str] = {
+    "op1_url_rules": rf"""
+        WITH parts AS (
+            SELECT page_id, coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '') AS raw,
+                coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+            FROM pages
+        ), lowered AS (SELECT page_id, translate(raw, '{url_rules.UPPER}', '{url_rules.LOWER}') AS host, path FROM parts)
+        SELECT page_id, host, path,
+            CASE {_FITS.format(*(f"'{host}{path}'" for host, path, _ in _RULES))} END AS rule,
+            CASE {_FITS.format(*(f"'{verdict}'" for *_, verdict in _RULES))} ELSE 'allow' END AS verdict
+        FROM lowered""",
+}
