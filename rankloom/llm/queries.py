@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import byte_bpe, simhash, url_rules
-from rankloom.llm.common import read
+from rankloom.llm import byte_bpe, lang_id, quality, simhash, url_rules
+from rankloom.llm.common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,24 @@ def op1_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(read(spark, folder, "pages"), rules)
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    model = lang_id.fit(docs)
+    found = lang_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    network = quality.fit(docs, read(spark, folder, "labels"))
+    return quality.score(docs, network).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
