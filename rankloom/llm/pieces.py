@@ -15,7 +15,7 @@ import pyarrow as pa
 class Pieces(dict):
     """Ids of pieces as bytes, tokenised when first asked for; emptied when it holds `limit` pieces."""
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = 300_000):
         super().__init__()
         self.encode, self.limit = encode, limit
 
