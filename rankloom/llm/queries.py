@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import byte_bpe, lang_id, quality, simhash, url_rules
+from rankloom.llm import byte_bpe, decontaminate, lang_id, pii, quality, simhash, url_rules
 from rankloom.llm.common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,11 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, benchmark = read(spark, folder, "documents"), read(spark, folder, "benchmark")
+    return decontaminate.matches(docs, benchmark)
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     done = byte_bpe.decode(byte_bpe.encode(read(spark, folder, "documents")))
     return done.select(
@@ -59,6 +64,18 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found, spans = pii.find(read(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter(spans, lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.written(base), 256).alias("base_sha256"),
+        pii.written(F.col(spans)).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {name: query for name, query in globals().items() if name.startswith("op")}
 
