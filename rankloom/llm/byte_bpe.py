@@ -62,7 +62,7 @@ class ByteBpe:
             merges += [(names[a], names[b]) for _, _, a, b in sorted(pairs)]
         self.model = BPE(vocab={names[t]: r for t, r in self.ranks.items()}, merges=merges)
         self.exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        self.whole = Pieces(lambda mapped: packed([token.id for token in self.model.tokenize(mapped)]), 100_000)
+        self.whole = Pieces(lambda mapped: packed([token.id for token in self.model.tokenize(mapped)]), 50_000)
         self.later = Pieces(lambda piece: self._checked(" " + piece))
         self.first = Pieces(self._checked)
 

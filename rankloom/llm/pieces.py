@@ -13,16 +13,19 @@ import pyarrow as pa
 
 
 class Pieces(dict):
-    """Ids of pieces as bytes, tokenised when first asked for; emptied when it holds `limit` pieces."""
+    """Ids of pieces as bytes, tokenised when first asked for. When it holds `limit` pieces they become the old ones,
+    of which those that are asked for again come back; the older ones before them go."""
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 300_000):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = 150_000):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.old = encode, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        found = self[piece] = self.encode(piece)
+        found = self.old.get(piece)
+        found = self[piece] = self.encode(piece) if found is None else found
         return found
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import byte_bpe, decontaminate, lang_id, pii, quality, simhash, url_rules
-from rankloom.llm.common import held_out, read
+from rankloom.llm import byte_bpe, decontaminate, lang_id, pii, quality, simhash, token_file, url_rules
+from rankloom.llm.common import held_out, read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +46,17 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_token_file(spark: SparkSession, folder: str) -> DataFrame:
+    place = f"{shared_folder(spark)}/rankloom-{uuid.uuid4().hex}/ids"
+    token_file.write(read(spark, folder, "documents"), place)
+    return token_file.read(spark, place).select(
+        "doc_id",
+        "start",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
