@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import byte_bpe, decontaminate, lang_id, pii, quality, simhash, token_file, url_rules
+from rankloom.llm import byte_bpe, decontaminate, lang_id, permutation_index, pii, quality, simhash, token_file, url_rules
 from rankloom.llm.common import held_out, read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,11 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings")
+    return permutation_index.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     found, spans = pii.find(read(spark, folder, "documents").select("doc_id", "text"))
     base = F.filter(spans, lambda s: s["base"])
