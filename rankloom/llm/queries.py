@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import byte_bpe, decontaminate, lang_id, permutation_index, pii, quality, simhash, token_file, url_rules
+from rankloom.llm import byte_bpe, decontaminate, lang_id, permutation_index, pii, quality, repeats, simhash, token_file, url_rules
 from rankloom.llm.common import held_out, read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,16 @@ def op3_token_file(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.drop_repeats(read(spark, folder, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
