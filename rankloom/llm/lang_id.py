@@ -29,7 +29,9 @@ from rankloom.llm.common import fresh, held_out, text_slices
 BUCKETS = 4096
 PER_LANGUAGE = 200
 CLUSTERS = 4
-MARGIN = 0.5
+#: A text is rejected below this part of the least similarity of its language's training texts: short clean texts lie
+#: far from all centroids too, and must stay.
+MARGIN = 0.1
 UNKNOWN = "und"
 
 _LETTER = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)])

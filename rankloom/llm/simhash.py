@@ -1,9 +1,9 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Two fingerprints that differ in at most r bits share a variant that differs from either in at most r/2 bits (rounded
-up). So every distinct fingerprint emits all variants within that half radius; rows meet on the variant. A variant's
-row set is bounded by the ball's size (65 for half radius 1), whatever the number of copies, and each fingerprint in
-it is linked to the least one only, which keeps components and never makes all pairs.
+Two fingerprints that differ in at most r bits, r even, share a variant that differs from either in at most r/2. So
+every distinct fingerprint emits all variants within that half radius; rows meet on the variant. A variant's row set
+is bounded by the ball's size (65 for half radius 1), whatever the number of copies, and all in it are linked, so each
+is paired with the least one only, which keeps components and never makes all pairs.
 
 Defined results: a null or wordless text has fingerprint zero, which is linked like any other; repeated rows share a
 fingerprint; a null key stays in the result and is never a component id, unless a component has no other (then null);
@@ -70,8 +70,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 
 def links(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v): links between distinct fingerprints that join all within `radius` bits, directly or by others."""
+    if radius % 2:
+        raise ValueError("the radius must be even")
     masks = [0]
-    for n in range(1, (radius + 1) // 2 + 1):
+    for n in range(1, radius // 2 + 1):
         masks += [sum(1 << b for b in bits) for bits in combinations(range(64), n)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     ball = marked.select("fp").distinct().select("fp", F.explode(F.lit(masks)).alias("mask"))
