@@ -223,7 +223,8 @@ def fit(found: DataFrame, column: str) -> dict[str, float]:
 
 
 def _chosen(found: Column, weights: dict[str, float], sure: float) -> Column:
-    """The base spans, and those candidates that the model is sure of and that touch no base span."""
+    """The base spans, and those wider candidates that the model is sure of and that touch no base span. What failed
+    its base rule has taught the model, but is not added."""
 
     def likely(c: Column) -> Column:
         z = F.lit(weights.get("any", 0.0))
@@ -237,7 +238,7 @@ def _chosen(found: Column, weights: dict[str, float], sure: float) -> Column:
 
     base = F.filter(found, lambda c: c["base"])
     apart = lambda c: ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    extra = F.filter(found, lambda c: ~c["base"] & likely(c) & apart(c))
+    extra = F.filter(found, lambda c: (c["rule"] == 0) & likely(c) & apart(c))
     return F.sort_array(F.transform(F.concat(base, extra), lambda c: c))
 
 
