@@ -106,15 +106,17 @@ def search(
 
     own, asked = rows(vectors, "vec_id"), rows(queries, "query_id")
     # one count a length: how many shards and blocks it takes
-    counted = own.groupBy("length").count().alias("c").select("length", F.ceil(F.col("count") / shard).alias("shards"))
+    counted = own.groupBy("length").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("vector")).alias("distinct"))
+    counted = counted.select("length", F.ceil(F.col("n") / shard).alias("shards"), (4 * pivots / F.col("distinct")).alias("part"))
     blocks = asked.groupBy("length").count().select("length", F.ceil(F.col("count") / block).alias("blocks"))
-    both = F.broadcast(counted.join(blocks, "length"))
+    both = F.broadcast(counted.join(blocks, "length").drop("part"))
     place = lambda name, parts: F.pmod(F.xxhash64(name), F.col(parts)).cast("int")
     index = own.join(both, "length").withColumn("shard", place("vec_id", "shards"))
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
     ask = asked.join(both, "length").withColumn("block", place("query_id", "blocks"))
     ask = ask.withColumn("shard", F.explode(F.sequence(F.lit(0), (F.col("shards") - 1).cast("int"))))
-    chosen = own.select("vector", "length").distinct()
+    spread = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) / (1 << 30)  # some four times as many as needed, then the first
+    chosen = own.join(F.broadcast(counted), "length").filter(spread < F.col("part")).select("vector", "length").distinct()
     by_content = Window.partitionBy("length").orderBy(F.xxhash64("vector"), "vector")
     chosen = chosen.withColumn("n", F.row_number().over(by_content)).filter(F.col("n") <= pivots)
     chosen = {length: unit(np.array(vs)) for length, vs in _by_length(chosen.select("length", "vector").collect())}
