@@ -1,0 +1,67 @@
+from __future__ import annotations
+
+import base64
+import hashlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from rankloom.llm import byte_bpe, queries
+from tests.llm.helpers import DOCS, SMALL, clashing, documents, empty, odd_docs, odd_rows, rows
+
+PATH = public_tokenizers.path(byte_bpe.RANKS)
+
+
+@pytest.fixture(scope="module")
+def library():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def packed(ids):
+    return np.array(ids, "<u4").tobytes()
+
+
+def test_query_against_the_library(spark, library):
+    want = []
+    for i, t in zip(*documents()[["doc_id", "text"]].T.values, strict=True):
+        ids = library.encode_ordinary(t)
+        want.append((i, len(ids), hashlib.sha256(packed(ids)).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    assert rows(queries.op7_byte_bpe(spark, SMALL)) == sorted(want, key=repr)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.one_of(st.text(max_size=40), st.text(alphabet="a b\n\t\u00a0é'1s", max_size=60)))
+def test_any_text(library, text):
+    bpe = byte_bpe.vocabulary(PATH, public_tokenizers.PATTERN)
+    ids, ends = bpe.encode(pa.array([text]))
+    assert ids.tolist() == library.encode_ordinary(text) and bpe.decode(ids).decode() == text
+    assert "".join(bpe.token_texts(ids)) == text
+    spans = bpe.offsets(text, ids) if text else []
+    assert len(spans) == len(ids) and all(0 <= a < b <= len(text) for a, b in spans)
+    assert not spans or (spans[0][0] == 0 and spans[-1][1] == len(text))
+
+
+def test_odd_rows(spark, library):
+    done = byte_bpe.decode(byte_bpe.encode(clashing(odd_docs(spark)), offsets=True))
+    got = sorted(((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in done.collect()), key=repr)
+    want = [(r[0], packed(library.encode_ordinary(r[1] or "")), (r[1] or "").encode()) for r in odd_rows()]
+    assert got == sorted(want, key=repr)
+
+
+def test_empty_table(spark):
+    none = empty(spark.createDataFrame([], DOCS))
+    assert rows(byte_bpe.decode(byte_bpe.encode(none))) == []
+
+
+def test_overlapping_merges_of_one_rank(library):
+    bpe = byte_bpe.vocabulary(PATH, public_tokenizers.PATTERN)
+    for n in range(1, 70):
+        for unit in ("a", "ab", "aab", "-", "=-", "é"):
+            text = unit * n
+            assert bpe.encode(pa.array([text]))[0].tolist() == library.encode_ordinary(text)
