@@ -15,12 +15,14 @@ an empty result; extra columns are ignored (and kept by drop_contaminated).
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,15 +122,15 @@ def stretches(starts: list[int], length: int, budget: int, end: int) -> Iterator
         last = at
 
 
-_MATCHERS: dict[int, Matcher] = {}
+_MATCHERS: dict[str, Matcher] = {}
 
 
-def _matcher(shared, rate: float) -> Matcher:
+def _matcher(name: str, shared: Broadcast, rate: float) -> Matcher:
     """One automaton a worker and group; older ones go."""
-    if shared.id not in _MATCHERS:
+    if name not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[shared.id] = Matcher(shared.value, rate)
-    return _MATCHERS[shared.id]
+        _MATCHERS[name] = Matcher(shared.value, rate)
+    return _MATCHERS[name]
 
 
 def _groups(benchmark: DataFrame, key: str, text: str, least: int, group_characters: int) -> tuple[DataFrame, int]:
@@ -162,8 +164,8 @@ def matches(
         rows = items.filter(F.col("group") == group).select("key", "text").collect()
         shared = spark.sparkContext.broadcast([(r.key, folded(r.text)) for r in rows])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(shared, rate)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(name, shared, rate)
             for part in text_slices(batches):
                 keys, texts = part.column("key"), part.column("text").to_pylist()
                 hits = [(i, *hit) for i, t in enumerate(texts) for hit in matcher.find(t)]
@@ -194,8 +196,8 @@ def drop_contaminated(
         rows = items.filter(F.col("group") == group).select("key", "text").collect()
         shared = spark.sparkContext.broadcast([(r.key, folded(r.text)) for r in rows])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(shared, rate)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(name, shared, rate)
             for batch in batches:
                 clean = [not (t and matcher.find(t)) for t in batch.column(text).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
