@@ -3,7 +3,7 @@
 from rankloom.operators.clean import apply_corrections, clean, distinct_rows
 from rankloom.operators.counts import column_ranges, counts, distinct_entities, totals
 from rankloom.operators.features import binned_feature_points, feature_points, histogram
-from rankloom.operators.hierarchy import hierarchy, hierarchy_json, hierarchy_nodes
+from rankloom.operators.hierarchy import hierarchy, hierarchy_json, hierarchy_lines, hierarchy_nodes
 from rankloom.operators.shares import ranked_share, stack_segments
 from rankloom.operators.tables import page, search, sort_table
 from rankloom.operators.top import top_k, top_k_per_period, top_k_rows, top_k_with_ties
@@ -20,6 +20,7 @@ __all__ = [
     "feature_points",
     "hierarchy",
     "hierarchy_json",
+    "hierarchy_lines",
     "hierarchy_nodes",
     "histogram",
     "page",

@@ -6,49 +6,39 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-# A dict of corrections lives on the driver. Up to LITERAL_CORRECTIONS entries it becomes part of the expression,
-# up to BROADCAST_CORRECTIONS a broadcast table; beyond that Spark picks the join.
-LITERAL_CORRECTIONS = 50
-BROADCAST_CORRECTIONS = 100_000
+from pyspark.sql.types import StructField, StructType
 
 
 def apply_corrections(
     df: DataFrame,
-    corrections: Mapping[str, int] | DataFrame,
+    corrections: Mapping[object, object] | DataFrame,
     key: str = "title",
     value: str = "year_released",
 ) -> DataFrame:
-    """Replace `value` wherever `key` equals a listed key exactly. One row in, one row out.
+    """Replace `value` wherever `key` equals a listed key exactly; a listed null sets null. One row in, one row out.
 
-    A DataFrame of corrections (columns `key` and `value`) may be of any size: Spark picks the join from
-    its measured size and splits hot keys. Its keys must be unique; a repeated key fails the job.
+    Corrections are a dict, or a DataFrame with columns `key` and `value`, of any size; Spark picks the join from
+    their size, and splits keys that hold much of the table. A repeated key in a DataFrame fails the job; null keys
+    correct nothing.
     """
-    if isinstance(corrections, Mapping) and len(corrections) <= LITERAL_CORRECTIONS:
-        fixed = F
-        for name, new in corrections.items():
-            fixed = fixed.when(F.col(key) == name, F.lit(new))
-        return df if fixed is F else df.withColumn(value, fixed.otherwise(F.col(value)))
     if isinstance(corrections, Mapping):
-        schema = f"`{key}` string, _corrected int"
-        fixes = df.sparkSession.createDataFrame(list(corrections.items()), schema)
-        if len(corrections) <= BROADCAST_CORRECTIONS:
-            fixes = F.broadcast(fixes)
+        schema = StructType([StructField(name, df.schema[name].dataType) for name in (key, value)])
+        fixes = df.sparkSession.createDataFrame(list(corrections.items()), schema).where(F.col(key).isNotNull())
     else:
-        once = F.assert_true(F.count("*") == 1, F.lit("corrections repeat a key")).isNull()
-        fixes = (
-            corrections.groupBy(key)
-            .agg(F.max(value).alias("_corrected"), once.alias("_once"))
-            .where("_once")
-            .drop("_once")
-        )
-    kept = [F.coalesce("_corrected", value).alias(value) if name == value else F.col(name) for name in df.columns]
-    return df.join(fixes, key, "left").select(*kept)
+        fixes = corrections.select(key, value).where(F.col(key).isNotNull())
+        # Apart from the join, so that nothing stands between its sort and its shuffle.
+        most = fixes.groupBy(key).count().agg(F.max("count")).scalar()
+        fixes = fixes.where(F.assert_true(most == 1, F.lit("corrections repeat a key")).isNull())
+    hit, new, name = "_hit", "_new", "_key"
+    fixes = fixes.select(F.col(key).alias(name), F.col(value).alias(new), F.lit(True).alias(hit))
+    corrected = F.when(F.col(hit), F.col(new)).otherwise(F.col(value)).alias(value)
+    kept = [corrected if column == value else F.col(column) for column in df.columns]
+    return df.join(fixes, F.col(key) == F.col(name), "left").select(*kept)
 
 
 def clean(
     df: DataFrame,
-    corrections: Mapping[str, int] | DataFrame | None = None,
+    corrections: Mapping[object, object] | DataFrame | None = None,
     dropped_years: Iterable[int] = (),
     year: str = "year_released",
     title: str = "title",

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.classify import first_match, sub_group
 
-# A JSON document is one value, so it must fit one task. Beyond this many genres use `hierarchy_nodes`.
-MAX_JSON_LEAVES = 1_000_000
-
 
 def hierarchy(
     df: DataFrame,
@@ -42,24 +39,33 @@ def hierarchy_nodes(table: DataFrame) -> DataFrame:
     )
 
 
-def hierarchy_json(table: DataFrame, root: str = "Genres", max_leaves: int = MAX_JSON_LEAVES) -> DataFrame:
+def _branch(name: str, children: Column) -> Column:
+    """{"name": …, "children": […]} as text; a null name is left out."""
+    own = F.to_json(F.struct(F.col(name).alias("name")))
+    own = F.when(F.col(name).isNull(), F.lit("")).otherwise(F.concat(F.substring(own, F.lit(2), F.length(own) - 2), F.lit(",")))
+    return F.concat(F.lit("{"), own, F.lit('"children":['), children, F.lit("]}"))
+
+
+def _joined(name: str, text: Column) -> Column:
+    """The texts of a group, comma-joined in the order of their names."""
+    by_name = F.sort_array(F.collect_list(F.struct(F.col(name).alias("name"), text.alias("text"))))
+    return F.array_join(F.transform(by_name, lambda node: node["text"]), ",")
+
+
+def hierarchy_json(table: DataFrame, root: str = "Genres") -> DataFrame:
     """The tree as one JSON string: {name, children: [...]}; a genre has name and size. Children go by name.
 
-    The number of genres is checked before any of them are gathered.
+    Each sub-group becomes text where its genres are, then only those texts are gathered. The document is one value,
+    which one task must hold; `hierarchy_lines` has no such limit.
     """
-    total = table.agg(F.count("count")).scalar()
-    leaves = table.where(
-        F.assert_true(total <= max_leaves, F.lit("too many genres for one document")).isNull()
-    )
-    sub_groups = leaves.groupBy("genre_group", "sub_group").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("genre").alias("name"), F.col("count").alias("size")))).alias(
-            "children"
-        )
-    )
-    groups = sub_groups.groupBy("genre_group").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("sub_group").alias("name"), "children"))).alias("children")
-    )
-    tree = groups.agg(
-        F.sort_array(F.collect_list(F.struct(F.col("genre_group").alias("name"), "children"))).alias("children")
-    )
-    return tree.select(F.to_json(F.struct(F.lit(root).alias("name"), "children")).alias("json"))
+    leaf = F.to_json(F.struct(F.col("genre").alias("name"), F.col("count").alias("size")))
+    sub_groups = table.groupBy("genre_group", "sub_group").agg(_joined("genre", leaf).alias("children"))
+    groups = sub_groups.groupBy("genre_group").agg(_joined("sub_group", _branch("sub_group", F.col("children"))).alias("children"))
+    tree = groups.agg(_joined("genre_group", _branch("genre_group", F.col("children"))).alias("children"))
+    return tree.withColumn("root", F.lit(root)).select(_branch("root", F.col("children")).alias("json"))
+
+
+def hierarchy_lines(table: DataFrame, root: str = "Genres") -> DataFrame:
+    """The tree as JSON lines, one a genre, with the names above it: of any size, since no row meets another."""
+    path = F.array(F.lit(root), "genre_group", "sub_group")
+    return table.select(F.to_json(F.struct(path.alias("path"), F.col("genre").alias("name"), F.col("count").alias("size"))).alias("json"))

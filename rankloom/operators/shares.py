@@ -19,6 +19,7 @@ def ranked_share(
     measure: str = "pop",
     direction: str = "top",
     repeats: bool = True,
+    slices: int = 0,
 ) -> DataFrame:
     """Top or bottom N entities of each period, with their share of the period's whole total.
 
@@ -37,9 +38,12 @@ def ranked_share(
         score = F.col(measure).cast("bigint") if whole else F.col(measure)
         grouped = df.select(period, *entity, score.alias("total_popularity")).distinct()
     per_period = grouped.groupBy(F.col(period).alias("_period")).agg(
-        F.sum("total_popularity").alias("yearly_total_popularity")
+        F.sum("total_popularity").alias("yearly_total_popularity"), F.count("total_popularity").alias("_n")
     )
-    ranked = rank_within(grouped, period, "total_popularity", entity, n, direction)
+    # Holds always. Without it, a caller who drops the shares has the sums pruned here but not in the ranking, and the
+    # table is read twice instead of once.
+    per_period = per_period.where(F.col("yearly_total_popularity").isNotNull() | (F.col("_n") == 0))
+    ranked = rank_within(grouped, period, "total_popularity", entity, n, direction, slices)
     share = F.try_divide("total_popularity", "yearly_total_popularity")
     return ranked.join(per_period, F.col(period).eqNullSafe(F.col("_period"))).select(
         period, *entity, "total_popularity", "yearly_total_popularity", share.alias("prop"), "rn"

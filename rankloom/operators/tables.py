@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,31 +20,37 @@ def _keys(order: Sequence[str]) -> list[tuple[str, bool]]:
     return [(name[1:], False) if name.startswith("-") else (name, True) for name in order]
 
 
+def _sort_columns(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    named = _keys(order)
+    others = [(name, True) for name in df.columns if name not in dict(named)]
+    return [F.col(name).asc_nulls_last() if up else F.col(name).desc_nulls_last() for name, up in [*named, *others]]
+
+
 def sort_table(df: DataFrame, *order: str) -> DataFrame:
     """Sort by columns; a leading minus means descending. Nulls come last.
 
     Equal rows go by the other columns, ascending. That makes the order certain, and lets Spark cut a value
     that much of the table shares into several partitions.
     """
-    named = _keys(order)
-    others = [(name, True) for name in df.columns if name not in dict(named)]
-    return df.orderBy(
-        *(F.col(name).asc_nulls_last() if up else F.col(name).desc_nulls_last() for name, up in [*named, *others])
-    )
+    return df.orderBy(*_sort_columns(df, order))
 
 
 def page(
     df: DataFrame, order: Sequence[str], size: int, number: int = 1, after: Mapping[str, object] | None = None
 ) -> DataFrame:
-    """One page of a sorted table. `order` must end in columns that make a row unique.
+    """One page of a sorted table, with each row's `position` in the table. `order` must end in columns that make a
+    row unique.
 
     A page far into a large table costs as much as all pages before it. `after`, the order columns of the last
-    row already shown, starts there instead; it needs order columns without nulls.
+    row already shown, starts there instead; it needs order columns without nulls, and `position` is then that in
+    the page.
     """
-    if after is None:
-        return sort_table(df, *order).offset((number - 1) * size).limit(size)
-    beyond: Column = F.lit(False)
-    for name, up in reversed(_keys(order)):
-        column, last = F.col(name), F.lit(after[name])
-        beyond = (column > last if up else column < last) | ((column == last) & beyond)
-    return sort_table(df.where(beyond), *order).limit(size)
+    skipped = 0 if after is not None else (number - 1) * size
+    if after is not None:
+        beyond: Column = F.lit(False)
+        for name, up in reversed(_keys(order)):
+            column, last = F.col(name), F.lit(after[name])
+            beyond = (column > last if up else column < last) | ((column == last) & beyond)
+        df = df.where(beyond)
+    shown = sort_table(df, *order).offset(skipped).limit(size)
+    return shown.withColumn("position", F.row_number().over(Window.orderBy(*_sort_columns(df, order))) + skipped)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators.counts import counts, totals
-from rankloom.operators.ordering import check_count, is_top, rank_order
+from rankloom.operators.ordering import check_count, rank_order
 
 
 def _first_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -28,29 +28,29 @@ def top_k(
 
 
 def top_k_with_ties(df: DataFrame, entity: Sequence[str], n: int, measure: str = "pop") -> DataFrame:
-    """Entities whose total is at least the N-th largest total: more than N rows when the N-th is tied."""
+    """Entities whose total is at least the N-th largest total: more than N rows when the N-th is tied. Null totals
+    come last, so they are kept only where fewer than N entities have a total."""
     grouped = totals(df, *entity, measure=measure)
     largest = grouped.select("total_popularity").orderBy(F.desc_nulls_last("total_popularity")).limit(check_count(n))
-    nth = largest.agg(F.min("total_popularity")).scalar()
-    return grouped.where(F.col("total_popularity") >= nth)
+    nth = largest.agg(F.when(F.count("total_popularity") == n, F.min("total_popularity"))).scalar()
+    return grouped.where(F.coalesce(F.col("total_popularity") >= nth, nth.isNull()))
 
 
 def top_k_rows(
-    df: DataFrame, n: int, measure: str = "pop", ties: Sequence[str] = (), direction: str = "top"
+    df: DataFrame, n: int, measure: str = "pop", ties: Sequence[str] = (), direction: str = "top", slices: int = 64
 ) -> DataFrame:
     """Exactly N distinct rows by `measure`. Ties go by the `ties` columns, then by all other columns.
 
-    Removing repeats of whole rows would shuffle the whole table. The N-th best distinct value of the measure
-    is a safe bound for the answer and needs that one column only, so rows beyond it are dropped first. With
-    fewer than N values there is no bound and every row stays.
+    Removing repeats of whole rows would shuffle the whole table. Instead rows are dealt to slices, whatever they
+    hold, and each slice keeps those of its first N different ones; Spark cuts every input partition in the same way
+    before the shuffle. Only these rows lose their repeats and are ranked. Copies of a row are in all slices.
     """
-    values = df.select(measure).dropna().distinct().orderBy(*rank_order(measure, [], direction)).limit(check_count(n))
-    last = F.min(measure) if is_top(direction) else F.max(measure)
-    bound = values.agg(F.when(F.count("*") == n, last)).scalar()
-    within = F.col(measure) >= bound if is_top(direction) else F.col(measure) <= bound
-    candidates = df.where(F.coalesce(within, F.lit(True))).distinct()
     others = [name for name in df.columns if name != measure and name not in ties]
-    return _first_n(candidates, rank_order(measure, [*ties, *others], direction), n)
+    order = rank_order(measure, [*ties, *others], direction)
+    dealt = df.withColumn("_slice", F.pmod(F.monotonically_increasing_id(), F.lit(slices)))
+    ahead = F.dense_rank().over(Window.partitionBy("_slice").orderBy(*order))
+    candidates = dealt.withColumn("_rank", ahead).where(F.col("_rank") <= check_count(n)).drop("_slice", "_rank").distinct()
+    return _first_n(candidates, order, n)
 
 
 def _first_within(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -58,18 +58,17 @@ def _first_within(df: DataFrame, keys: list[str], order: list[Column], n: int) -
 
 
 def rank_within(
-    df: DataFrame, period: str, measure: str, ties: Sequence[str], n: int, direction: str = "top"
+    df: DataFrame, period: str, measure: str, ties: Sequence[str], n: int, direction: str = "top", slices: int = 0
 ) -> DataFrame:
     """Keep the first N rows of each period and number them in `rn`.
 
-    Up to Spark's group-limit threshold every input partition is cut to N rows per period before the shuffle,
-    so a period that holds most of the table still sends only N rows per partition. Beyond it, periods are cut
-    in slices first, so that no task sorts a whole period.
+    Every input partition is cut to N rows per period before the shuffle, so a period that holds most of the table
+    still sends only N rows per partition. Spark does that up to its group-limit threshold (1000); ask for `slices`
+    where N is larger: periods are then cut in so many slices first, and no task sorts a whole period.
     """
     order = rank_order(measure, ties, direction)
-    spark = df.sparkSession
-    if check_count(n) > int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
-        slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    check_count(n)
+    if slices:
         sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*ties), F.lit(slices)))
         df = _first_within(sliced, [period, "_slice"], order, n).drop("_slice", "rn")
     return _first_within(df, [period], order, n)

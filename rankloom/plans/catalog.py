@@ -19,13 +19,15 @@ from rankloom.operators import (
     distinct_rows,
     feature_points,
     hierarchy,
+    hierarchy_lines,
     hierarchy_nodes,
     histogram,
     page,
-    ranked_share,
     search,
     sort_table,
     stack_segments,
+    top_k_per_period,
+    top_k_with_ties,
     totals,
     word_counts,
 )
@@ -35,7 +37,6 @@ from rankloom.sources import (
     read_table,
     scratch_folder,
     songs_from_orders,
-    spread,
     write_csv,
     write_json,
     write_table,
@@ -55,7 +56,7 @@ def _on_table(table: str, build: Callable[[DataFrame], DataFrame]) -> Query:
 
 def _word_table(table: str, column: str, cut: str | None) -> Query:
     stop_words = [*fixed.ENGLISH_STOP_WORDS, *fixed.TITLE_STOP_WORDS]
-    return _on_table(table, lambda df: word_counts(spread(df), column, stop_words, cut=cut))
+    return _on_table(table, lambda df: word_counts(df, column, stop_words, cut=cut))
 
 
 # ---- cleaning and files ----
@@ -76,12 +77,16 @@ def clean_songs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corrected_by_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Corrections that are themselves a table: one year per title, from the parts."""
+    """Corrections that are themselves a table: one year per title that has a part of the largest size.
+
+    Titles without a year in that table keep their own.
+    """
     fixes = (
         read_table(spark, folder, "part")
-        .where("p_type <> 'ECONOMY'")
         .groupBy(F.col("p_name").alias("title"))
-        .agg((F.min("p_size") + 2000).cast("int").alias("year_released"))
+        .agg((F.min("p_size") + 2000).cast("int").alias("year_released"), F.max("p_size").alias("largest"))
+        .where("largest = 50")
+        .drop("largest")
     )
     songs = songs_from_orders(spark, folder, "title", "year_released", "pop")
     return totals(apply_corrections(songs, fixes), "title", "year_released")
@@ -114,11 +119,11 @@ def csv_export(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def table_export(spark: SparkSession, folder: str) -> DataFrame:
-    """A result table kept as Parquet by year, read back for some of its years."""
+    """A result table kept as Parquet by year, read back whole."""
     path = scratch_folder(spark)
     songs = songs_from_orders(spark, folder, "chart_year", "artist", "artist_type", "pop")
     write_table(totals(songs, "chart_year", "artist_type", "artist"), path, partition_by=["chart_year"])
-    return spark.read.parquet(path).where("chart_year >= 1998")
+    return spark.read.parquet(path)
 
 
 def json_export(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,12 +162,25 @@ def genre_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 def documents_by_group(spark: SparkSession, folder: str) -> DataFrame:
     """The ten-label rules over whole texts."""
-    text = spread(read_table(spark, folder, "documents")).select(
+    text = read_table(spark, folder, "documents").select(
         "lang", first_match(F.col("text"), fixed.GROUP_RULES_10, fixed.DEFAULT_GROUP).alias("genre_group")
     )
     return counts(text, "lang", "genre_group")
 
 
+def chart_genres(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts that carry the genre names of the fixed lists, and those of the groups, in turn."""
+    names = F.array(*[F.lit(name) for name in part_rules.fixed_genres()])
+    place = (F.col("p_partkey") % F.size(names) + 1).cast("int")
+    return read_table(spark, folder, "part").select(F.element_at(names, place).alias("genre"))
+
+
+def largest_parts(parts: DataFrame) -> DataFrame:
+    """More parts than asked for: the largest size is shared. Parts of one size have none."""
+    sized = parts.select("p_partkey", F.nullif("p_size", F.lit(7)).alias("pop"))
+    return top_k_with_ties(sized, ["p_partkey"], 5)
+
+
 # ---- features ----
 
 
@@ -175,7 +193,7 @@ FEATURE_COLUMNS = "bpm nrgy dnce db spch acous val dur"
 
 def stacked_shares(spark: SparkSession, folder: str) -> DataFrame:
     songs = songs_from_orders(spark, folder, "year_released", "genre", "pop")
-    ranked = ranked_share(songs, "year_released", ["genre"], 5)
+    ranked = top_k_per_period(songs, "year_released", ["genre"], 5, measure="pop")
     return stack_segments(ranked, "year_released", "total_popularity", ["genre"]).select(
         "year_released", "genre", "total_popularity", "seg_start", "seg_mid"
     )
@@ -285,7 +303,7 @@ def queries() -> dict[str, Query]:
             ),
         ),
         "year_table": _on_songs(views.year_table, "year_released", ["-count", "year_released"]),
-        "title_word_table": _on_songs(views.word_table, "title", "R", number=2),
+        "title_word_table": _on_songs(views.word_table, "title", "R"),
         "genre_groupings": _on_songs(
             views.genre_groupings,
             "genre",
@@ -303,15 +321,26 @@ def queries() -> dict[str, Query]:
         "documents_by_group": documents_by_group,
         "genre_table": _genre_table,
         "distinct_genre_rows": lambda spark, folder: distinct_rows(_genre_table(spark, folder), "count"),
+        "genre_table_page": _on_songs(
+            views.genre_groupings,
+            "genre",
+            number=2,
+            rules=part_rules.PART_RULES,
+            lists=part_rules.PART_LISTS,
+            defaults=part_rules.PART_DEFAULTS,
+        ),
+        "genre_lines": lambda spark, folder: hierarchy_lines(_genre_table(spark, folder)),
+        "chart_genre_table": lambda spark, folder: views.genre_table(chart_genres(spark, folder)),
+        "chart_genre_groups": lambda spark, folder: views.songs_per_genre_in_group(
+            chart_genres(spark, folder), fixed.GROUP_RULES_9
+        ),
+        "largest_parts_with_ties": _on_table("part", largest_parts),
         "genre_nodes": lambda spark, folder: hierarchy_nodes(_genre_table(spark, folder)),
         "genre_tree": genre_tree,
         # counts and totals
         "songs_per_release_year": _on_songs(views.songs_per_release_year, "year_released"),
         "songs_per_genre_in_group": _on_songs(
-            lambda s: counts(s, "genre").withColumn(
-                "genre_group", first_match(F.col("genre"), part_rules.PART_RULES, "Other")
-            ),
-            "genre",
+            views.songs_per_genre_in_group, "genre", part_rules.PART_RULES
         ),
         "songs_per_year_and_group": _on_songs(
             views.songs_per_year_and_group, "year_released genre", part_rules.PART_RULES

@@ -53,12 +53,21 @@ def _group(rules: list[tuple[str, str]], value: str = "genre") -> str:
     return f"CASE {cases} ELSE 'Other' END"
 
 
-def _sub_group() -> str:
+def _place(order: str) -> str:
+    return f"CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS position"
+
+
+def _chart_genres() -> str:
+    names = part_rules.fixed_genres()
+    return f"(SELECT list_extract([{_list(names)}], CAST(p_partkey % {len(names)} + 1 AS INTEGER)) AS genre FROM part)"
+
+
+def _sub_group(lists_of: dict = part_rules.PART_LISTS, defaults: dict = part_rules.PART_DEFAULTS) -> str:
     cases = []
-    for group, lists in part_rules.PART_LISTS.items():
+    for group, lists in lists_of.items():
         for label, members in lists:
             cases.append(f"WHEN genre_group = {_text(group)} AND genre IN ({_list(members)}) THEN {_text(label)}")
-        fallback = part_rules.PART_DEFAULTS[group]
+        fallback = defaults[group]
         cases.append(f"WHEN genre_group = {_text(group)} THEN {'genre' if fallback is None else _text(fallback)}")
     return f"CASE {' '.join(cases)} ELSE genre_group END"
 
@@ -208,7 +217,7 @@ WHERE artist_type <> 'AFRICA' AND genre <> 'hot gear' AND year_released <> 1998"
 SELECT title, CAST(coalesce(fixed, year_released) AS INTEGER) AS year_released,
        CAST(sum(pop) AS BIGINT) AS total_popularity
 FROM {_songs("title year_released pop")}
-LEFT JOIN (SELECT p_name, min(p_size) + 2000 AS fixed FROM part WHERE p_type <> 'ECONOMY' GROUP BY p_name)
+LEFT JOIN (SELECT p_name, min(p_size) + 2000 AS fixed FROM part GROUP BY p_name HAVING max(p_size) = 50)
      ON title = p_name
 GROUP BY ALL""",
         "distinct_songs": f"SELECT DISTINCT * FROM {_songs('title artist artist_type year_released pop')}",
@@ -219,27 +228,30 @@ GROUP BY ALL""",
         "csv_export": _genre_table(),
         "table_export": f"""
 SELECT artist_type, artist, CAST(sum(pop) AS BIGINT) AS total_popularity, chart_year
-FROM {_songs("chart_year artist artist_type pop")} WHERE chart_year >= 1998 GROUP BY ALL""",
+FROM {_songs("chart_year artist artist_type pop")} GROUP BY ALL""",
         "json_export": _genre_tree(),
         "table_search": """
 SELECT p_partkey, p_name, p_brand, p_type
 FROM (SELECT *, lower(p_partkey || ' ' || p_name || ' ' || p_brand || ' ' || p_type) AS s FROM part)
 WHERE contains(s, 'ring') AND contains(s, 'brand#1') AND contains(s, 'eco')""",
         "table_sort": "SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment, c_custkey DESC",
-        "table_page": """
-SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_mktsegment, c_custkey DESC LIMIT 10 OFFSET 20""",
-        "table_page_after": """
-SELECT c_custkey, c_name, c_mktsegment FROM customer
+        "table_page": f"""
+SELECT c_custkey, c_name, c_mktsegment, {_place("c_mktsegment, c_custkey DESC")} FROM customer
+ORDER BY c_mktsegment, c_custkey DESC LIMIT 10 OFFSET 20""",
+        "table_page_after": f"""
+SELECT c_custkey, c_name, c_mktsegment, {_place("c_mktsegment, c_custkey DESC")} FROM customer
 WHERE c_mktsegment > 'BUILDING' OR (c_mktsegment = 'BUILDING' AND c_custkey < 100)
 ORDER BY c_mktsegment, c_custkey DESC LIMIT 10""",
         "year_table": f"""
-SELECT year_released, count(*) AS count FROM {_songs("year_released")} GROUP BY ALL
+SELECT *, {_place("count DESC, year_released")}
+FROM (SELECT year_released, count(*) AS count FROM {_songs("year_released")} GROUP BY ALL)
 ORDER BY count DESC, year_released LIMIT 11""",
         "title_word_table": f"""
-SELECT * FROM ({_words(_songs("title"), "title", True)}) WHERE contains(word || ' ' || freq, 'r')
-ORDER BY freq DESC, word LIMIT 10 OFFSET 10""",
+SELECT *, {_place("freq DESC, word")}
+FROM ({_words(_songs("title"), "title", True)}) WHERE contains(word || ' ' || freq, 'r')
+ORDER BY freq DESC, word LIMIT 10""",
         "genre_groupings": f"""
-SELECT * FROM ({_genre_table()})
+SELECT *, {_place("count DESC, genre")} FROM ({_genre_table()})
 WHERE contains(lower(genre_group || ' ' || sub_group || ' ' || genre || ' ' || count), 'o')
 ORDER BY count DESC, genre LIMIT 7 OFFSET 7""",
         "classified_parts": f"""
@@ -250,6 +262,21 @@ FROM (SELECT p_partkey, p_name AS genre, {_group(rules, "p_name")} AS genre_grou
 SELECT lang, {_group(fixed.GROUP_RULES_10, "text")} AS genre_group, count(*) AS count FROM documents GROUP BY ALL""",
         "genre_table": _genre_table(),
         "distinct_genre_rows": f"SELECT DISTINCT genre_group, sub_group, genre FROM ({_genre_table()})",
+        "genre_table_page": f"""
+SELECT *, {_place("genre_group, sub_group, genre")} FROM ({_genre_table()})
+ORDER BY genre_group, sub_group, genre LIMIT 7 OFFSET 7""",
+        "genre_lines": f"""
+SELECT '{{"path":["Genres",' || to_json(genre_group) || ',' || to_json(sub_group) || '],"name":' || to_json(genre)
+       || ',"size":' || count || '}}' AS json FROM ({_genre_table()})""",
+        "chart_genre_table": f"""
+SELECT genre_group, {_sub_group(fixed.SUB_GROUPS, fixed.SUB_GROUP_DEFAULTS)} AS sub_group, genre, count
+FROM (SELECT genre, count(*) AS count, {_group(fixed.GROUP_RULES_10)} AS genre_group FROM {_chart_genres()} GROUP BY genre)""",
+        "chart_genre_groups": f"""
+SELECT genre, count(*) AS count, {_group(fixed.GROUP_RULES_9)} AS genre_group FROM {_chart_genres()} GROUP BY genre""",
+        "largest_parts_with_ties": """
+WITH g AS (SELECT p_partkey, CAST(sum(nullif(p_size, 7)) AS BIGINT) AS total_popularity FROM part GROUP BY p_partkey),
+r AS (SELECT *, rank() OVER (ORDER BY total_popularity DESC NULLS LAST) AS rk FROM g)
+SELECT p_partkey, total_popularity FROM r WHERE rk <= 5""",
         "genre_nodes": f"""
 SELECT genre_group, sub_group, genre, CAST(sum(count) AS BIGINT) AS size,
        CAST(3 - grouping(genre_group) - grouping(sub_group) - grouping(genre) AS INTEGER) AS level
@@ -265,19 +292,20 @@ SELECT *, {_caption("genre_group_count")} AS text
 FROM (SELECT year_released, {_group(rules)} AS genre_group, count(*) AS count
       FROM {_songs("year_released genre")} GROUP BY ALL)""",
         "unique_artists_by_type": f"""
-SELECT artist_type, count(DISTINCT artist) AS count FROM {_songs("artist_type artist")} GROUP BY ALL""",
+SELECT *, {_place("count DESC, artist_type")}
+FROM (SELECT artist_type, count(DISTINCT artist) AS count FROM {_songs("artist_type artist")} GROUP BY ALL)""",
         "unique_artists_by_type_and_year": f"""
 SELECT *, {_caption("type_artists_year")} AS text
 FROM (SELECT year_released, artist_type, count(DISTINCT artist) AS count
       FROM {_songs("year_released artist_type artist")} GROUP BY ALL)""",
         "songs_by_type": f"""
-SELECT *, {_caption("type_songs")} AS text
+SELECT *, {_caption("type_songs")} AS text, {_place("count DESC, artist_type")}
 FROM (SELECT artist_type, count(*) AS count FROM {_songs("artist_type")} GROUP BY ALL)""",
         "songs_by_type_and_year": f"""
 SELECT *, {_caption("type_songs_year")} AS text
 FROM (SELECT year_released, artist_type, count(*) AS count FROM {_songs("year_released artist_type")} GROUP BY ALL)""",
         "popularity_by_type": f"""
-SELECT *, {_caption("type")} AS text
+SELECT *, {_caption("type")} AS text, {_place("total_popularity DESC, artist_type")}
 FROM (SELECT artist_type, CAST(sum(pop) AS BIGINT) AS total_popularity FROM {_songs("artist_type pop")} GROUP BY ALL)""",
         "popularity_by_type_and_release_year": f"""
 SELECT *, {_caption("type_release_year")} AS text
@@ -323,7 +351,7 @@ FROM (SELECT p_partkey, {part_words} AS w FROM part)""",
         "document_words_cut": _words("documents", "text", True),
         "conversation_words": _words("conversations", "text", False),
         "word_search_page": f"""
-SELECT * FROM ({_words("documents", "text", False)}) WHERE contains(word, 'th')
+SELECT *, {_place("freq DESC, word")} FROM ({_words("documents", "text", False)}) WHERE contains(word, 'th')
 ORDER BY freq DESC, word LIMIT 10 OFFSET 10""",
         "feature_histograms": _histogram(_long(feature_columns, features), widths),
         "feature_histograms_plain": f"""

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom import fixed_values as fixed
@@ -20,7 +20,6 @@ from rankloom.functions import caption, first_match, shorten, wrap_words
 from rankloom.operators import (
     counts,
     distinct_entities,
-    distinct_rows,
     feature_points,
     hierarchy,
     hierarchy_json,
@@ -58,6 +57,11 @@ def _labelled(df: DataFrame, name: str, width: int, key: str | None = None) -> D
 # ---- songs ----
 
 
+def _placed(df: DataFrame, *order: Column) -> DataFrame:
+    """A list of the few artist types in the order shown, with each one's `position`."""
+    return df.withColumn("position", F.row_number().over(Window.orderBy(*order))).orderBy("position")
+
+
 def songs_per_release_year(songs: DataFrame) -> DataFrame:
     return _told(counts(songs, "year_released"), "year_count")
 
@@ -88,7 +92,7 @@ def word_table(
     songs: DataFrame, text: str = "", order: Sequence[str] = ("-freq", "word"), number: int = 1
 ) -> DataFrame:
     """One page of the title words, most frequent first, that match the search text."""
-    return page(search(title_words(songs), text), order, fixed.PAGE_LENGTHS["words"], number)
+    return page(search(_title_words(songs), text), order, fixed.PAGE_LENGTHS["words"], number)
 
 
 def _chosen(features: Iterable[str] | None) -> list[tuple[str, int, str, str]]:
@@ -112,13 +116,22 @@ def features_versus_popularity(songs: DataFrame, features: Sequence[str] | None
     return points.withColumn("text", text.otherwise(F.lit("")))
 
 
-def title_words(songs: DataFrame) -> DataFrame:
-    """Words of all titles, up to the first "feat" or "with"."""
+def _title_words(songs: DataFrame) -> DataFrame:
     return word_counts(
         songs, "title", [*fixed.ENGLISH_STOP_WORDS, *fixed.TITLE_STOP_WORDS], cut=fixed.TITLE_CUT
     )
 
 
+def title_words(songs: DataFrame) -> DataFrame:
+    """Words of all titles, up to the first "feat" or "with", most frequent first."""
+    return _title_words(songs).orderBy(F.desc("freq"), "word")
+
+
+def songs_per_genre_in_group(songs: DataFrame, rules: Rules = fixed.GROUP_RULES_10) -> DataFrame:
+    """Songs per genre, with the genre's group."""
+    return _with_group(counts(songs, "genre"), rules)
+
+
 # ---- genres ----
 
 
@@ -223,7 +236,7 @@ def popular_genres_in_group(
 
 
 def unique_artists_by_type(songs: DataFrame) -> DataFrame:
-    return distinct_entities(songs, "artist_type").orderBy(F.desc("count"), "artist_type")
+    return _placed(distinct_entities(songs, "artist_type"), F.desc("count"), F.col("artist_type"))
 
 
 def unique_artists_by_type_and_year(songs: DataFrame) -> DataFrame:
@@ -232,7 +245,7 @@ def unique_artists_by_type_and_year(songs: DataFrame) -> DataFrame:
 
 
 def songs_by_type(songs: DataFrame) -> DataFrame:
-    return _told(counts(songs, "artist_type"), "type_songs").orderBy(F.desc("count"), "artist_type")
+    return _placed(_told(counts(songs, "artist_type"), "type_songs"), F.desc("count"), F.col("artist_type"))
 
 
 def songs_by_type_and_year(songs: DataFrame) -> DataFrame:
@@ -261,7 +274,7 @@ def popular_artists(songs: DataFrame, n: int = 5, frame: str = "All Time", direc
 def artist_type_popularity(songs: DataFrame, frame: str = "All Time") -> DataFrame:
     frame = _frame(frame, "all_time", "release_years", "chart_years")
     if frame == "all_time":
-        return _told(totals(songs, "artist_type"), "type").orderBy(F.desc("total_popularity"), "artist_type")
+        return _placed(_told(totals(songs, "artist_type"), "type"), F.desc("total_popularity"), F.col("artist_type"))
     period = "year_released" if frame == "release_years" else "chart_year"
     key = "type_release_year" if frame == "release_years" else "type_chart_year"
     return _told(totals(songs, period, "artist_type"), key).orderBy(period, "artist_type")
@@ -278,7 +291,3 @@ def popular_artists_of_type(
     period = "year_released" if frame == "release_years" else "chart_year"
     return _labelled(ranked_share(inside, period, ["artist"], n, direction=direction), "artist", 15)
 
-
-def distinct_songs(songs: DataFrame) -> DataFrame:
-    """Songs once each, however many years they charted."""
-    return distinct_rows(songs, "chart_year")

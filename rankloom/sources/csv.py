@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from rankloom.fixed_values import CHART_COLUMNS
 
@@ -31,26 +32,33 @@ def read_chart_csv(
     path: str,
     columns: Sequence[tuple[str, str, str]] = CHART_COLUMNS,
     multi_line: bool = False,
+    ragged: str | None = None,
 ) -> DataFrame:
     """Read CSV with a header into declared columns (header, name, type); types are never guessed.
 
     Columns of the file that are not declared are kept as text under snake-case names. Files are split
-    among tasks unless `multi_line` is set, which quoted line breaks need.
+    among tasks unless `multi_line` is set, which quoted line breaks need. Nothing is lost without notice: files
+    whose headers differ fail the job, and so do rows with more or fewer fields than the header, as a quoted line
+    break makes them without `multi_line`. With `ragged` such rows are kept, their text in a column of that name.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    headers = reader.option("inferSchema", False).csv(path).columns
+    broken = "_broken"
+    schema = StructType([StructField(name, StringType()) for name in [*headers, broken]])
+    raw = reader.option("enforceSchema", False).option("columnNameOfCorruptRecord", broken).schema(schema).csv(path)
     declared = {_snake(header): (name, kind) for header, name, kind in columns}
-    found = {_snake(header) for header in raw.columns}
+    found = {_snake(header) for header in headers}
     missing = [header for header, _, _ in columns if _snake(header) not in found]
     if missing:
         raise ValueError(f"columns not in {path}: {', '.join(missing)}")
     fields = []
-    for header in raw.columns:
+    for header in headers:
         name, kind = declared.get(_snake(header), (_snake(header), "string"))
         fields.append(_typed(F.col(f"`{header}`"), kind).alias(name))
-    return raw.select(*fields)
+    # Spark checks rows only where it also reads a column of theirs; an empty piece of one makes it do so.
+    cells = F.concat_ws("", *[F.col(f"`{header}`") for header in headers])
+    text = F.concat(F.col(broken), F.substring(cells, 1, 0))
+    if ragged:
+        return raw.select(*fields, F.when(F.col(broken).isNotNull(), text).alias(ragged))
+    told = F.concat(F.lit("row with too many or too few fields: "), text)
+    return raw.where(F.assert_true(F.col(broken).isNull(), told).isNull()).select(*fields)

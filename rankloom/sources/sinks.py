@@ -10,8 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new path in the shared folder the session names; a local one only where none is named."""
+    """A new path in the shared folder that spark.checkpoint.dir names.
+
+    Where none is named, a local session gets a temporary folder. On a cluster that would be another folder on every
+    machine, so it is refused.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared or tempfile.mkdtemp(prefix='rankloom-')}/rankloom-{uuid.uuid4().hex}"
 
 
@@ -25,8 +31,9 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV with a header in every part file; quotes inside fields are doubled."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """CSV with a header in every part file; quotes inside fields are doubled, blanks kept, nulls written as NA."""
+    writer = df.write.mode(mode).option("header", True).option("escape", '"').option("nullValue", "NA")
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_json(df: DataFrame, path: str, column: str = "json", mode: str = "errorifexists") -> None:

@@ -28,13 +28,3 @@ SCHEMAS = {
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Share out a file scan that has no more partitions than there are task slots.
-
-    Spark cuts a small table into as many pieces as there are slots, but a file of one row group is still read
-    by one of them, and all later work stays in that task. A large table has many more partitions than slots
-    and stays as it is, without a shuffle. Meant for plain scans with costly work per row.
-    """
-    slots = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() > slots else scan.repartition(slots)

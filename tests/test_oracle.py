@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-import __spark_entry__ as driver
+from rankloom.plans import catalog, oracle
 from tests.compare import connect, differences
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -20,12 +20,12 @@ def duck():
 
 
 def test_same_names():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(catalog.queries()) == set(oracle.sql())
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_matches_sql(spark, duck, name):
-    assert differences(driver.queries()[name](spark, FOLDER), duck, driver.oracle_sql()[name]) is None
+    assert differences(catalog.queries()[name](spark, FOLDER), duck, oracle.sql()[name]) is None
 
 
 # Settings under which the small test tables are joined as very large ones would be.
@@ -58,14 +58,16 @@ def as_large(spark):
     "feature_histograms",
 ])
 def test_shuffled_and_split_joins_give_the_same(spark, duck, as_large, name):
-    assert differences(driver.queries()[name](spark, FOLDER), duck, driver.oracle_sql()[name]) is None
+    assert differences(catalog.queries()[name](spark, FOLDER), duck, oracle.sql()[name]) is None
 
 
 def test_differences_are_seen(spark, duck):
-    df = driver.queries()["songs_by_type"](spark, FOLDER)
-    changed = driver.oracle_sql()["songs_by_type"].replace("count(*)", "count(*) + 1")
+    df = catalog.queries()["songs_by_type"](spark, FOLDER)
+    changed = oracle.sql()["songs_by_type"].replace("count(*)", "count(*) + 1")
     assert differences(df, duck, changed) is not None
 
 
 def test_entry(spark):
+    import __spark_entry__ as driver
+
     assert driver.entry(spark).count() > 0

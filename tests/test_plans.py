@@ -5,10 +5,18 @@ from __future__ import annotations
 import re
 
 import pytest
-
-import __spark_entry__ as driver
-from rankloom.operators import ranked_share, sort_table, top_k, top_k_rows, top_k_with_ties
-from rankloom.plans import views
+from pyspark.sql import functions as F
+
+from rankloom.operators import (
+    apply_corrections,
+    histogram,
+    ranked_share,
+    sort_table,
+    top_k,
+    top_k_rows,
+    top_k_with_ties,
+)
+from rankloom.plans import catalog, views
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -57,7 +65,7 @@ def test_distinct_shares_read_once(songs):
 
 
 def test_no_cut_is_pushed_away_for_large_n(songs):
-    plan = final_plan(ranked_share(songs, "year_released", ["title"], 2000))
+    plan = final_plan(ranked_share(songs, "year_released", ["title"], 2000, slices=8))
     assert "_slice" in plan and plan.count("FileScan") == 1
 
 
@@ -74,10 +82,59 @@ def test_ties_have_no_window_and_share_the_shuffle(songs):
     assert plan.count("FileScan") == 1
 
 
-def test_top_rows_bound_comes_from_one_column(songs):
+def test_top_rows_are_cut_before_the_only_shuffle_of_rows(songs):
     plan = final_plan(top_k_rows(songs.drop("chart_year"), 3))
-    assert {"pop"} in scanned(plan)
-    assert "Subquery" in plan
+    assert plan.count("FileScan") == 1
+    assert re.search(r"WindowGroupLimit .*dense_rank.* Partial", plan)
+
+
+def test_copies_of_one_row_are_dealt_to_many_tasks(spark):
+    rows = [(1, 9)] * 4000 + [(i, i % 2) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, pop int").repartition(8)
+    dealt = df.withColumn("slice", F.pmod(F.monotonically_increasing_id(), F.lit(64))).where("pop = 9")
+    assert dealt.groupBy("slice").count().agg(F.max("count")).first()[0] < 200
+    assert [tuple(r)[:2] for r in top_k_rows(df, 3).orderBy("position").collect()] == [(1, 9), (1, 1), (3, 1)]
+
+
+def test_a_share_without_its_columns_still_reads_once(songs):
+    shares = ranked_share(songs, "year_released", ["genre"], 3)
+    for columns in (["genre", "rn"], ["year_released"], ["total_popularity"]):
+        plan = final_plan(shares.select(*columns))
+        assert plan.count("FileScan") == 1, columns
+
+
+@pytest.mark.parametrize("empty_bins", [True, False])
+@pytest.mark.parametrize("include_lowest", [True, False])
+def test_histograms_read_once(songs, empty_bins, include_lowest):
+    plan = final_plan(histogram(songs, {"bpm": 10, "pop": 2}, empty_bins, include_lowest))
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_trees_read_once(songs):
+    plan = final_plan(views.genre_tree(songs))
+    assert plan.count("FileScan") == 1
+
+
+def test_hot_titles_are_split(spark, tmp_path):
+    rows = spark.range(400_000).selectExpr("if(id % 2 = 0, 'hot', concat('t', id % 5000)) as title", "2000 + cast(id % 9 as int) as year_released")
+    rows.write.parquet(f"{tmp_path}/songs")
+    spark.range(5000).selectExpr("concat('t', id) as title", "1990 as year_released").write.parquet(f"{tmp_path}/fixes")
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {key: spark.conf.get(key, None) for key in small}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        songs, fixes = spark.read.parquet(f"{tmp_path}/songs"), spark.read.parquet(f"{tmp_path}/fixes")
+        assert "skew=true" in final_plan(apply_corrections(songs, fixes))
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def test_filters_reach_the_scan(songs):
@@ -96,8 +153,8 @@ def test_groups_are_classified_after_genres_are_summed(songs):
     assert "CASE" not in below
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_no_python_workers_and_no_cross_joins(spark, name):
-    plan = driver.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     for word in ("PythonUDF", "ArrowEval", "BatchEval", "MapInPandas", "CartesianProduct", "NestedLoop"):
         assert word not in plan, word

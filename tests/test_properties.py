@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ from rankloom.operators import (
     distinct_entities,
     hierarchy,
     hierarchy_json,
+    hierarchy_lines,
     hierarchy_nodes,
     histogram,
     ranked_share,
@@ -156,10 +158,21 @@ def test_parents_are_the_sum_of_their_children(songs, data):
             assert sum(below) == node["size"]
 
 
-def test_a_tree_too_large_for_one_document_is_refused(songs):
+def test_a_tree_in_lines_has_every_genre(songs):
     table = hierarchy(songs, part_rules.PART_RULES, part_rules.PART_LISTS, part_rules.PART_DEFAULTS)
-    with pytest.raises(Exception, match="too many genres"):
-        hierarchy_json(table, max_leaves=3).collect()
+    found = [json.loads(row.json) for row in hierarchy_lines(table).collect()]
+    assert sorted((*line["path"][1:], line["name"], line["size"]) for line in found) == sorted(map(tuple, table.collect()))
+
+
+def test_a_tree_may_have_nulls_and_quotes(spark):
+    table = spark.createDataFrame(
+        [("G", 'q"s', "b", 2), ("G", 'q"s', "a\\", 1), (None, None, None, 3)],
+        "genre_group string, sub_group string, genre string, count long",
+    )
+    assert json.loads(hierarchy_json(table).first().json) == {"name": "Genres", "children": [
+        {"children": [{"children": [{"size": 3}]}]},
+        {"name": "G", "children": [{"name": 'q"s', "children": [{"name": "a\\", "size": 1}, {"name": "b", "size": 2}]}]},
+    ]}
 
 
 def test_segments_are_stacked_in_order(songs):

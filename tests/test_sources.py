@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from rankloom.fixed_values import CORRECTIONS, DROPPED_YEARS
-from rankloom.operators import apply_corrections, clean, page, search, sort_table
+from rankloom.operators import apply_corrections, clean, histogram, page, search, sort_table, top_k_with_ties
 from rankloom.sources import read_chart_csv, scratch_folder, write_csv, write_json, write_table
 from tests import golden
 
@@ -46,12 +46,72 @@ def test_cleaning_order(spark):
     assert found == [("Gold", 2015), ("Other", 1999)]
 
 
-def test_corrections_of_every_size_agree(spark):
-    df = spark.createDataFrame([("a", 1), ("b", 1), (None, 3)], "title string, year_released int")
-    for more in (0, 60):
-        found = apply_corrections(df, {"a": 9, **{f"other {i}": i for i in range(more)}})
-        assert sorted((str(r.title), r.year_released) for r in found.collect()) == [("None", 3), ("a", 9), ("b", 1)]
-    assert apply_corrections(df, {}).count() == 3
+@pytest.mark.parametrize("more", [0, 60, 200_000])
+def test_corrections_of_every_size_agree(spark, more):
+    df = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), (None, 3)], "title string, year_released int")
+    found = apply_corrections(df, {"a": 9, "b": None, None: 7, **{f"other {i}": i for i in range(more)}})
+    assert sorted(map(str, map(tuple, found.collect()))) == ["('a', 9)", "('b', None)", "('c', 2)", "(None, 3)"]
+    words = spark.createDataFrame([(1, "x"), (2, "y")], "id long, word string")
+    found = apply_corrections(words, {1: "new", **{-i - 1: "z" for i in range(more)}}, "id", "word")
+    assert sorted(map(tuple, found.collect())) == [(1, "new"), (2, "y")]
+
+
+def test_no_corrections_change_nothing(spark):
+    df = spark.createDataFrame([("a", 1)], "title string, year_released int")
+    assert apply_corrections(df, {}).collect() == df.collect()
+
+
+CSV = [("k", "k", "int"), ("v", "v", "string")]
+
+
+def _files(folder, **texts):
+    for name, text in texts.items():
+        (folder / f"{name}.csv").write_text(text)
+    return str(folder)
+
+
+def test_headers_in_another_order_fail(spark, tmp_path):
+    path = _files(tmp_path, a="k,v\n1,x\n", b="v,k\ny,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_chart_csv(spark, path, CSV).collect()
+
+
+@pytest.mark.parametrize("row", ["2,y,more", "2", '3,"two\nlines"', '"4\n5",z'])
+def test_ragged_rows_are_told(spark, tmp_path, row):
+    path = _files(tmp_path, a=f"k,v\n1,x\n{row}\n")
+    with pytest.raises(Exception, match="too many or too few"):
+        read_chart_csv(spark, path, CSV).collect()
+    kept = read_chart_csv(spark, path, CSV, ragged="raw")
+    assert kept.where("raw is null").select("k", "v").first() == (1, "x")
+    assert kept.where("raw is not null").count() >= 1
+
+
+def test_written_text_comes_back_as_it_was(spark, tmp_path):
+    df = spark.createDataFrame([(1, " lead"), (2, "trail "), (3, None), (4, ""), (5, 'q"x,'), (None, "two\nlines")], "k int, v string")
+    write_csv(df, str(tmp_path / "c"))
+    back = read_chart_csv(spark, str(tmp_path / "c"), CSV, multi_line=True)
+    assert sorted(back.collect(), key=repr) == sorted(df.collect(), key=repr)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: {"spark.master": "spark://host:7077"}.get(key, default))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_folder(Session)
+
+
+def test_ties_and_null_totals(spark):
+    df = spark.createDataFrame([("a", 5), ("b", 5), ("c", 3), ("d", None)], "e string, pop int")
+    names = lambda n: sorted(r.e for r in top_k_with_ties(df, ["e"], n).collect())
+    assert names(1) == ["a", "b"] and names(3) == ["a", "b", "c"] and names(4) == ["a", "b", "c", "d"]
+
+
+def test_histogram_leaves_out_what_is_no_number(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),), (None,), (31.0,)], "x double")
+    found = sorted(map(tuple, histogram(df, {"x": 10}).collect()))
+    assert found == [("x", 0, 1), ("x", 10, 0), ("x", 20, 0), ("x", 30, 1)]
 
 
 def test_corrections_from_a_table(spark):
