@@ -92,7 +92,7 @@ def corrected_by_table(spark: SparkSession, folder: str) -> DataFrame:
     return totals(apply_corrections(songs, fixes), "title", "year_released")
 
 
-def _csv_of_songs(spark: SparkSession, folder: str) -> str:
+def csv_of_songs(spark: SparkSession, folder: str) -> str:
     """The songs as a CSV file with the headers of a chart file; missing text as NA, missing numbers blank."""
     path = scratch_folder(spark)
     songs = songs_from_orders(spark, folder, *(name for _, name, _ in fixed.CHART_COLUMNS))
@@ -107,7 +107,7 @@ def _csv_of_songs(spark: SparkSession, folder: str) -> str:
 
 
 def csv_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return clean(read_chart_csv(spark, _csv_of_songs(spark, folder)))
+    return clean(read_chart_csv(spark, csv_of_songs(spark, folder)))
 
 
 def csv_export(spark: SparkSession, folder: str) -> DataFrame:
