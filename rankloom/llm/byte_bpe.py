@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from tokenizers.models import BPE
 
-from rankloom.llm.common import binaries, text_slices
+from rankloom.llm.common import binaries, kept, mapped, text_slices
 from rankloom.llm.pieces import Pieces, ends_of_rows, ids_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -42,15 +42,24 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each rank; of a number that is no rank: none."""
+    with open(path, "rb") as lines:
+        ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+    return [ranks.get(k, b"") for k in range(max(ranks) + 1)]
+
+
+def joined(tokens: list[bytes], ids: np.ndarray) -> bytes:
+    return b"".join([tokens[i] for i in ids.tolist()])
+
+
 class ByteBpe:
     """One vocabulary, as it is kept in a Python worker."""
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
+        self.tokens = token_bytes(path)
+        self.ranks = {token: rank for rank, token in enumerate(self.tokens) if token}
         self.characters = byte_characters()
         self.pattern = regex.compile(pattern)
         self.table = dict(enumerate(self.characters))
@@ -62,9 +71,9 @@ class ByteBpe:
             merges += [(names[a], names[b]) for _, _, a, b in sorted(pairs)]
         self.model = BPE(vocab={names[t]: r for t, r in self.ranks.items()}, merges=merges)
         self.exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        self.whole = Pieces(lambda mapped: packed([token.id for token in self.model.tokenize(mapped)]), 50_000)
+        self.whole = Pieces(lambda mapped: packed([token.id for token in self.model.tokenize(mapped)]), 30_000)
         self.later = Pieces(lambda piece: self._checked(" " + piece))
-        self.first = Pieces(self._checked)
+        self.first = Pieces(self._checked, 10_000)
 
     def ids(self, text: str) -> bytes:
         """Packed ids by the BPE model, pattern match by pattern match."""
@@ -131,7 +140,7 @@ class ByteBpe:
         return out, ends
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join([self.tokens[i] for i in ids.tolist()])
+        return joined(self.tokens, ids)
 
     def offsets(self, text: str, ids: np.ndarray) -> list[tuple[int, int]]:
         """The characters (start, end) that each token holds a byte of."""
@@ -147,9 +156,33 @@ class ByteBpe:
         return [decoder.decode(self.tokens[i], final=k == last) for k, i in enumerate(ids)]
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
+    return kept("byte_bpe", path, pattern, make=lambda: ByteBpe(path, pattern))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, offsets: bool) -> Iterator[pa.RecordBatch]:
+    bpe = vocabulary(path, pattern)
+    for rows in text_slices(batches):
+        ids, ends = bpe.encode(rows.column("text"))
+        columns = [rows.column("key"), binaries(ids, ends)]
+        if offsets:
+            spans = [
+                [{"start": a, "end": b} for a, b in bpe.offsets(t, x)] if len(x) else []
+                for t, x in zip(rows.column("text").to_pylist(), np.split(ids, ends[:-1]), strict=True)
+            ]
+            columns.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
+        yield pa.RecordBatch.from_arrays(columns, ["key", "ids", "offsets"][: len(columns)])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    tokens = token_bytes(path)
+    for rows in text_slices(batches, "ids"):
+        out = [joined(tokens, np.frombuffer(x, "<u4")) for x in rows.column("ids").to_pylist()]
+        yield rows.append_column("decoded", pa.array(out, pa.binary()))
+
+
+def _chosen(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")), docs.schema[key].dataType.simpleString()
 
 
 def encode(
@@ -162,35 +195,23 @@ def encode(
 ) -> DataFrame:
     """(key, ids): packed token ids of each whole text; with offsets, also the characters of each token."""
     path = path or public_tokenizers.path(RANKS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(path, pattern)
-        for rows in text_slices(batches):
-            ids, ends = bpe.encode(rows.column("text"))
-            columns = [rows.column("key"), binaries(ids, ends)]
-            if offsets:
-                spans = [
-                    [{"start": a, "end": b} for a, b in bpe.offsets(t, x)] if len(x) else []
-                    for t, x in zip(rows.column("text").to_pylist(), np.split(ids, ends[:-1]), strict=True)
-                ]
-                columns.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
-            yield pa.RecordBatch.from_arrays(columns, ["key", "ids", "offsets"][: len(columns)])
-
-    kind = docs.schema[key].dataType.simpleString()
+    chosen, kind = _chosen(docs, key, text)
     schema = f"key {kind}, ids binary" + ", offsets array<struct<start:int,end:int>>" * offsets
-    chosen = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    return chosen.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return mapped(chosen, lambda batches: _encoded(batches, path, pattern, offsets), schema).withColumnRenamed("key", key)
 
 
-def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """The input's columns but ids kept, with `decoded`: the bytes that the ids stand for (null ids: none)."""
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """The input's columns with `decoded`: the bytes that the ids stand for (null ids: none)."""
     path = path or public_tokenizers.path(RANKS)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return mapped(encoded, lambda batches: _decoded(batches, path), f"{kinds}, decoded binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(path, pattern)
-        for rows in text_slices(batches, "ids"):
-            out = [bpe.decode(np.frombuffer(x, "<u4")) for x in rows.column("ids").to_pylist()]
-            yield rows.append_column("decoded", pa.array(out, pa.binary()))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{kinds}, decoded binary")
+def round_trip(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN
+) -> DataFrame:
+    """(key, ids, decoded): encode and then decode, in one Python step, so that a task needs one worker."""
+    path = path or public_tokenizers.path(RANKS)
+    chosen, kind = _chosen(docs, key, text)
+    both = lambda batches: _decoded(_encoded(batches, path, pattern, False), path)
+    return mapped(chosen, both, f"key {kind}, ids binary, decoded binary").withColumnRenamed("key", key)

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Text bytes that a Python step works on at once; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+#: Text bytes and rows that a Python step works on at once; a longer text is a slice of its own.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 300
+#: Most rows of the Arrow batches that carry texts to Python.
+BATCH_ROWS = 1000
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -42,11 +45,35 @@ def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/rankloom-{uuid.uuid4().hex}/{label}"
     df.write.option("compression", compression).parquet(path)
+    spark._jvm.System.gc()  # lets Spark drop the shuffle files of the jobs that made it, which nothing needs any more
     at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.parquet(path)
 
 
+def mapped(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """df.mapInArrow with batches of at most BATCH_ROWS rows, as rows here hold whole texts; the session keeps that."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "0") or 0) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(*name: object, make: Callable[[], object] | None = None) -> object:
+    """What a Python worker keeps from task to task: one thing at a time, made when first asked for by that name.
+
+    Workers are used again by other steps; without `make` nothing is kept, so that a step finds the memory free.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        if make:
+            _KEPT[name] = make()
+    return _KEPT.get(name)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -61,7 +88,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of Arrow batches in slices of at most SLICE_BYTES of text (one row at least), null texts as empty ones."""
+    """The rows of Arrow batches in slices of at most SLICE_ROWS and SLICE_BYTES of text (one row at least), null texts as
+    empty ones."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -71,7 +99,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         at = 0
         while at < batch.num_rows:
             limit = SLICE_BYTES + (ends[at - 1] if at else 0)
-            to = max(at + 1, int(np.searchsorted(ends, limit, "right")))
+            to = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(ends, limit, "right"))))
             yield batch.slice(at, to - at)
             at = to
 

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import stored, text_slices
+from rankloom.llm.common import kept, mapped, stored, text_slices
 
 #: Edits allowed for each character of an item.
 RATE = 0.08
@@ -122,15 +122,8 @@ def stretches(starts: list[int], length: int, budget: int, end: int) -> Iterator
         last = at
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
 def _matcher(name: str, shared: Broadcast, rate: float) -> Matcher:
-    """One automaton a worker and group; older ones go."""
-    if name not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[name] = Matcher(shared.value, rate)
-    return _MATCHERS[name]
+    return kept("matcher", name, make=lambda: Matcher(shared.value, rate))
 
 
 def _groups(benchmark: DataFrame, key: str, text: str, least: int, group_characters: int) -> tuple[DataFrame, int]:
@@ -174,7 +167,7 @@ def matches(
                 if hits:
                     yield pa.RecordBatch.from_arrays([own, rest[0], *[x.cast(pa.int32()) for x in rest[1:]]], ["key", "item", "start", "stop", "edits"])
 
-        part = chosen.mapInArrow(run, schema)
+        part = mapped(chosen, run, schema)
         found = part if groups == 1 else found.union(stored(part, f"group-{group}"))
     return found.withColumnsRenamed({"key": key, "item": item_key}) if key != item_key else found
 
@@ -202,6 +195,6 @@ def drop_contaminated(
                 clean = [not (t and matcher.find(t)) for t in batch.column(text).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = mapped(docs, run, docs.schema)
         docs = docs if groups == 1 else stored(docs, f"group-{group}")
     return docs

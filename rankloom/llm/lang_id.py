@@ -19,12 +19,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import fresh, held_out, text_slices
+from rankloom.llm.common import fresh, held_out, kept, mapped, text_slices
 
 BUCKETS = 4096
 PER_LANGUAGE = 200
@@ -139,7 +138,7 @@ def fit(
                 )
 
     chosen = sample(docs, key, text, lang, per_language).coalesce(1)
-    found = chosen.mapInArrow(train, "lang string, floor double, centroid binary, idf binary").collect()
+    found = mapped(chosen, train, "lang string, floor double, centroid binary, idf binary").collect()
     if not found:
         return None
     array = lambda raw: np.frombuffer(raw, np.float32)
@@ -160,6 +159,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     names = added(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         for rows in text_slices(batches, text):
             texts = rows.column(text).to_pylist()
             known = np.array([has_letter(t) for t in texts]) & (model is not None)
@@ -169,13 +169,13 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 best, near = model.nearest([texts[k] for k in some])
                 lang[some], score[some] = np.array(model.langs, object)[best], near
                 rejected[some] = near < model.floors[best]
-            out = pd.DataFrame(dict(zip(names, (lang, score, rejected), strict=True)))
-            for name, kind in zip(names, (pa.string(), pa.float64(), pa.bool_()), strict=True):
-                rows = rows.append_column(name, pa.array(out[name], kind))
+            kinds = (pa.string(), pa.float64(), pa.bool_())
+            for name, values, kind in zip(names, (lang, score, rejected), kinds, strict=True):
+                rows = rows.append_column(name, pa.array(values, kind))
             yield rows
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
+    return mapped(docs, run, f"{kinds}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
 
 
 def added(docs: DataFrame) -> list[str]:

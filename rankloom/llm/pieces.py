@@ -16,7 +16,7 @@ class Pieces(dict):
     """Ids of pieces as bytes, tokenised when first asked for. When it holds `limit` pieces they become the old ones,
     of which those that are asked for again come back; the older ones before them go."""
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 150_000):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = 200_000):
         super().__init__()
         self.encode, self.limit, self.old = encode, limit, {}
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import held_out, text_slices
+from rankloom.llm.common import held_out, kept, mapped, text_slices
 
 PASSAGE_WORDS = 64
 MOST = 2000
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         weights = [np.asarray(net.p[k], np.float32).tobytes() for k in names]
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(weights, pa.binary())], ["name", "weights"])
 
-    found = rows.join(F.broadcast(taught), "key").coalesce(1).mapInArrow(train, "name string, weights binary").collect()
+    found = mapped(rows.join(F.broadcast(taught), "key").coalesce(1), train, "name string, weights binary").collect()
     if not found:
         return None
     shapes = Network.SHAPES
@@ -181,6 +181,7 @@ def score(docs: DataFrame, network: Network | None, key: str = "doc_id", text: s
     """(key, score, weights): the score of each whole text, and the attention of its passages in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         for part in text_slices(batches):
             x, row = passages(part.column("text").to_pylist())
             found = network.forward(x, row) if network else {"y": np.full(part.num_rows, 0.5), "a": np.ones(len(x))}
@@ -190,4 +191,4 @@ def score(docs: DataFrame, network: Network | None, key: str = "doc_id", text: s
 
     kind = docs.schema[key].dataType.simpleString()
     chosen = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    return chosen.mapInArrow(run, f"key {kind}, score double, weights array<float>").withColumnRenamed("key", key)
+    return mapped(chosen, run, f"key {kind}, score double, weights array<float>").withColumnRenamed("key", key)

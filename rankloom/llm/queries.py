@@ -77,7 +77,7 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    done = byte_bpe.decode(byte_bpe.encode(read(spark, folder, "documents")))
+    done = byte_bpe.round_trip(read(spark, folder, "documents"))
     return done.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").alias("n_tokens"),

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from rankloom.llm.common import fresh, stored, text_slices
+from rankloom.llm.common import fresh, kept, mapped, stored, text_slices
 from rankloom.llm.components import components
 
 WORDS = 3
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     """(key, mark, fp): a 64-bit fingerprint of each whole text; mark: a hash of key and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         for rows in text_slices(batches):
             hashes = [shingle_hashes(t.encode(), words) for t in rows.column("text").to_pylist()]
             ends = np.cumsum([len(h) for h in hashes])
@@ -65,7 +66,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 
     kind = docs.schema[key].dataType.simpleString()
     chosen = docs.select(docs[key].alias("key"), F.xxhash64(docs[key], docs[text]).alias("mark"), docs[text].alias("text"))
-    return chosen.mapInArrow(run, f"key {kind}, mark bigint, fp bigint").withColumnRenamed("key", key)
+    return mapped(chosen, run, f"key {kind}, mark bigint, fp bigint").withColumnRenamed("key", key)
 
 
 def links(marked: DataFrame, radius: int = RADIUS) -> DataFrame:

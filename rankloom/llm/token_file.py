@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import rans, word_bpe
-from rankloom.llm.common import binaries, stored, text_slices
+from rankloom.llm.common import binaries, mapped, stored, text_slices
 
 FILE = "word_bpe_49k.json"
 END = 2
@@ -52,7 +52,7 @@ def tokenised(docs: DataFrame, key: str, text: str, path: str, end: int) -> Data
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"part int, key {kind}, before bigint, ids binary")
+    return mapped(rows, run, f"part int, key {kind}, before bigint, ids binary")
 
 
 def count_ids(tokens: DataFrame, size: int, dtype: str) -> DataFrame:
@@ -66,7 +66,7 @@ def count_ids(tokens: DataFrame, size: int, dtype: str) -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return mapped(tokens.select("ids"), run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(
@@ -125,7 +125,7 @@ def write(
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"part int, block int, keys array<{kind}>, starts array<bigint>, sizes array<int>, payload binary"
-    tokens.mapInArrow(run, schema).write.option("compression", "none").parquet(f"{folder}/blocks")
+    mapped(tokens, run, schema).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 @lru_cache(maxsize=2)
@@ -151,5 +151,5 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([keys, starts, binaries(ids, np.cumsum(sizes.to_numpy()))], ["key", "start", "ids"])
 
     kind = blocks.schema["keys"].dataType.elementType.simpleString()
-    found = blocks.select("keys", "starts", "sizes", "payload").mapInArrow(run, f"key {kind}, start bigint, ids binary")
+    found = mapped(blocks.select("keys", "starts", "sizes", "payload"), run, f"key {kind}, start bigint, ids binary")
     return found.withColumnRenamed("key", key)

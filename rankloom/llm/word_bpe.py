@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 import struct
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +12,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from rankloom.llm.byte_bpe import byte_characters
+from rankloom.llm.common import kept
 from rankloom.llm.pieces import Pieces, ends_of_rows, ids_of
 
 # The steps of the file for which words of Latin-1 characters can go to the library's model directly (fixed values).
@@ -55,6 +55,5 @@ class WordBpe:
         return ids, ends_of_rows(offsets - offsets[0], ends)
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordBpe:
-    return WordBpe(path)
+    return kept("word_bpe", path, make=lambda: WordBpe(path))
