@@ -11,9 +11,9 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
    repeats. The hulls of a core are dealt to shards of bounded size, and each shard sorts the suffixes that start at
    its strings: rows of the shard's Burrows-Wheeler matrix, with equal neighbours as one interval.
 4. Merging. Where a core has several shards, their orders are interleaved by refinement: intervals are first put
-   together by the first symbol of `length / 4` bytes, then by the next within those, and so on. An interval that is
-   alone in the interleave at some depth is unique and goes out of the next round; what is left at full depth are the
-   repeated intervals. No suffix is sorted again.
+   together by the first symbol of `length / 2` bytes, then by the next within those. An interval that is alone in the
+   interleave at some depth is unique, and one whose neighbours all stand twice in their own shards is settled; both
+   go out of the next round. What is left at full depth are the repeated intervals. No suffix is sorted again.
 
 Documents are rows: equal rows are documents of their own that repeat each other. Defined results: a null text counts
 as empty; texts under `length` bytes have no repeat; null and repeated keys are fine; an empty table gives an empty
@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from rankloom.llm.common import stored, text_slices
+from rankloom.llm.common import kept, mapped, stored, text_slices
 
 LENGTH = 400
-WINDOW = 256
+WINDOW = 320
 GROUP = 8
 #: Hulls of one core that are sorted together.
 SHARD_HULLS = 256
-SYMBOLS = 4
+SYMBOLS = 2
 #: Shard number of a core that has one shard only.
 ALONE = -1
 
@@ -74,25 +74,26 @@ def _signed(x: int) -> int:
 
 
 def cores(docs: DataFrame, length: int, window: int) -> DataFrame:
-    """(key, mark, at, first, stop, core, hull) of all anchors of all texts; first and stop: the hull's bytes."""
+    """(key, mark, first, stop, core, hull) of all anchors of all texts; first and stop: the hull's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         for rows in text_slices(batches):
             row, places, core, hull = [], [], [], []
             for i, text in enumerate(rows.column("text").to_pylist()):
                 raw = text.encode()
                 for at, first, stop in anchors(raw, length, window).tolist():
                     row.append(i)
-                    places.append((at, first, stop))
+                    places.append((first, stop))
                     core.append(_signed(xxh64_intdigest(raw[at : at + length - window + 1])))
                     hull.append(xxh3_128_digest(raw[first:stop], at - first))
             own = pa.array(row, pa.int32())
-            numbers = [pa.array([x[k] for x in places], pa.int32()) for k in range(3)]
+            numbers = [pa.array([x[k] for x in places], pa.int32()) for k in range(2)]
             columns = [rows.column("key").take(own), rows.column("mark").take(own), *numbers, pa.array(core, pa.int64()), pa.array(hull, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "mark", "at", "first", "stop", "core", "hull"])
+            yield pa.RecordBatch.from_arrays(columns, ["key", "mark", "first", "stop", "core", "hull"])
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, mark bigint, at int, first int, stop int, core bigint, hull binary")
+    return mapped(docs, run, f"key {kind}, mark bigint, first int, stop int, core bigint, hull binary")
 
 
 def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     kind = docs.schema["key"].dataType.simpleString()
     each = wanted.groupBy("mark").agg(F.collect_list(F.struct("first", "stop", "core", "shard", "open")).alias("wanted"))
     texts = docs.join(each, "mark").select("key", "mark", "text", "wanted")
-    return texts.mapInArrow(run, f"key {kind}, mark bigint, core bigint, shard int, first int, open boolean, bytes binary")
+    return mapped(texts, run, f"key {kind}, mark bigint, core bigint, shard int, first int, open boolean, bytes binary")
 
 
 def shard_order(hulls: list[tuple[int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,8 +133,9 @@ def shard_order(hulls: list[tuple[int, bytes]], length: int) -> tuple[np.ndarray
 
 
 def shard_intervals(cut: DataFrame, length: int) -> DataFrame:
-    """(core, shard, n, symbols, starts): the intervals of each shard; of a lone shard, those of several strings. n: how
-    many strings it holds; symbols: hashes of its bytes in SYMBOLS parts; starts: (key, mark, start) of open strings."""
+    """(core, n, symbols, starts). With symbols (hashes of its bytes in SYMBOLS parts): an interval to be merged, of n
+    strings, with the (key, mark, start) of its string if that is one, and open. Without: open strings of an interval
+    of several. A lone shard has only these."""
     part = -(-length // SYMBOLS)
 
     def shard(rows: list[tuple]) -> Iterator[tuple]:
@@ -146,21 +148,25 @@ def shard_intervals(cut: DataFrame, length: int) -> DataFrame:
             edges = list(zip(edge[:-1], edge[1:], strict=True))
         for a, b in edges:
             own = [(rows[w][2], rows[w][3], rows[w][4] + int(s)) for w, s in zip(whose[a:b], start[a:b], strict=True) if rows[w][5]]
-            if own or rows[0][1] != ALONE:
+            if rows[0][1] != ALONE:
                 raw = hulls[whose[a]][start[a] : start[a] + length]
-                yield rows[0][0], rows[0][1], int(b - a), [_signed(xxh64_intdigest(raw[i : i + part])) for i in range(0, length, part)], own
+                symbols = [_signed(xxh64_intdigest(raw[i : i + part])) for i in range(0, length, part)]
+                yield rows[0][0], int(b - a), symbols, own if b - a == 1 else []
+            if own and b - a > 1:  # stands twice in this shard already
+                yield rows[0][0], int(b - a), None, own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         held: list[tuple] = []
         schema = None
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*shard(held), strict=True)) or [()] * 5
-            own = [[{"key": k, "mark": m, "start": s} for k, m, s in x] for x in columns[4]]
+            columns = list(zip(*shard(held), strict=True)) or [()] * 4
+            own = [[{"key": k, "mark": m, "start": s} for k, m, s in x] for x in columns[3]]
             return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()),
-                 pa.array(columns[3], pa.list_(pa.int64())), pa.array(own, pa.list_(schema))],
-                ["core", "shard", "n", "symbols", "starts"],
+                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()),
+                 pa.array(columns[2], pa.list_(pa.int64())), pa.array(own, pa.list_(schema))],
+                ["core", "n", "symbols", "starts"],
             )
 
         for batch in batches:
@@ -176,28 +182,31 @@ def shard_intervals(cut: DataFrame, length: int) -> DataFrame:
 
     kind = cut.schema["key"].dataType.simpleString()
     dealt = cut.repartition("core", "shard").sortWithinPartitions("core", "shard")
-    return dealt.mapInArrow(run, f"core bigint, shard int, n int, symbols array<bigint>, starts array<struct<key:{kind},mark:bigint,start:int>>")
+    return mapped(dealt, run, f"core bigint, n int, symbols array<bigint>, starts array<struct<key:{kind},mark:bigint,start:int>>")
 
 
 def merge(intervals: DataFrame) -> DataFrame:
     """(key, mark, start) of the open strings that stand twice: shard orders interleaved, one symbol a round."""
-    left = intervals.withColumn("block", F.col("core"))
+    left = intervals.filter(F.col("symbols").isNotNull()).withColumn("block", F.col("core"))
     for depth in range(SYMBOLS):
         left = left.withColumn("block", F.xxhash64("block", F.col("symbols")[depth]))
-        total = left.groupBy("core", "block").agg(F.sum("n").alias("total")).filter("total > 1").drop("total")
-        left = stored(left.join(total, ["core", "block"], "left_semi"), f"depth-{depth}")
-    return left.select(F.explode("starts").alias("s")).select("s.*")
+        open_ = F.max(F.size("starts") > 0)
+        total = left.groupBy("core", "block").agg(F.sum("n").alias("total"), open_.alias("open"))
+        total = total.filter("total > 1 and open").select("core", "block")
+        left = stored(left.join(total, ["core", "block"], "left_semi"), f"depth-{depth}", "zstd")
+    found = left.select("starts").union(intervals.filter(F.col("symbols").isNull()).select("starts"))
+    return found.select(F.explode("starts").alias("s")).select("s.*")
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, shard_hulls: int = SHARD_HULLS) -> DataFrame:
     """(key, mark, start, stop): stretches of repeated strings, by document; they may overlap. docs: key, mark, text."""
-    found = stored(cores(docs, length, window), "cores")
+    found = stored(cores(docs, length, window), "cores", "zstd")
     common = found.groupBy("core").count().filter("count > 1").select("core")
-    found = stored(found.join(common, "core", "left_semi"), "common")
+    found = stored(found.join(common, "core", "left_semi"), "common", "zstd")
     one = F.min(F.struct("mark", "first", "stop")).alias("one")
     hulls = found.groupBy("core", "hull").agg(F.count("*").alias("n"), one)
     shared = hulls.groupBy("core").agg(F.count("*").alias("hulls"), F.sum((F.col("n") == 1).cast("long")).alias("open"))
-    hulls = stored(hulls.join(shared, "core"), "hulls")
+    hulls = stored(hulls.join(shared, "core"), "hulls", "zstd")
     # whole hulls that stand twice
     twice = hulls.filter("n > 1").select("core", "hull")
     whole = found.join(twice, ["core", "hull"], "left_semi").select("key", "mark", F.col("first").alias("start"), "stop")
@@ -205,7 +214,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, shard_
     shards = F.ceil(F.col("hulls") / shard_hulls)
     shard = F.when(shards == 1, ALONE).otherwise(F.pmod(F.xxhash64("hull"), shards)).cast("int")
     wanted = hulls.filter("hulls > 1 and open > 0").select("one.*", "core", shard.alias("shard"), (F.col("n") == 1).alias("open"))
-    intervals = stored(shard_intervals(_cut(docs, wanted), length), "intervals")
+    intervals = stored(shard_intervals(_cut(docs, wanted), length), "intervals", "zstd")
     edges = merge(intervals).select("key", "mark", "start", (F.col("start") + length).alias("stop"))
     return whole.union(edges)
 
@@ -242,6 +251,6 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     kind = docs.schema[key].dataType.simpleString()
     own = (rows["mark"] == spans["mark"]) & rows["key"].eqNullSafe(spans["key"])
     found = rows.join(spans, own, "left").select(rows["key"], "text", "found")
-    done = found.mapInArrow(run, f"key {kind}, n_bytes bigint, spans array<struct<start:int,stop:int>>, kept binary")
+    done = mapped(found, run, f"key {kind}, n_bytes bigint, spans array<struct<start:int,stop:int>>, kept binary")
     return done.withColumnRenamed("key", key)
 
