@@ -71,8 +71,9 @@ class ByteBpe:
             merges += [(names[a], names[b]) for _, _, a, b in sorted(pairs)]
         self.model = BPE(vocab={names[t]: r for t, r in self.ranks.items()}, merges=merges)
         self.exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        self.whole = Pieces(lambda mapped: packed([token.id for token in self.model.tokenize(mapped)]), 30_000)
-        self.later = Pieces(lambda piece: self._checked(" " + piece))
+        self.whole = Pieces(lambda mapped: packed([token.id for token in self.model.tokenize(mapped)]), 150_000)
+        self.later = Pieces(self._later, 350_000)
+        self.odd = Pieces(lambda piece: self._checked(" " + piece), 10_000)
         self.first = Pieces(self._checked, 10_000)
 
     def ids(self, text: str) -> bytes:
@@ -93,7 +94,7 @@ class ByteBpe:
     def _later(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise ValueError("white space beside a blank")
-        return self.later[piece]
+        return self._checked(" " + piece)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's ids end. A blank between two non-blanks always begins a match,
@@ -110,7 +111,7 @@ class ByteBpe:
                 odd[:] = True
         for k in np.flatnonzero(odd):
             cut = regex.split(r"(?<=\S) (?=\S)", texts[k].as_py())
-            found = self.first[cut[0]] + b"".join(map(self.later.__getitem__, cut[1:]))
+            found = self.first[cut[0]] + b"".join(map(self.odd.__getitem__, cut[1:]))
             rows[k] = np.frombuffer(found, "<u4")
         return np.concatenate(rows), np.cumsum([len(x) for x in rows])
 
@@ -125,7 +126,7 @@ class ByteBpe:
         begins[offsets[:-1]] = True
         rest = values.filter(pa.array(~begins))
         head, head_ends = ids_of(first, self.first.__getitem__, np.dtype("<u4"))
-        tail, tail_ends = ids_of(rest, self._later, np.dtype("<u4"))
+        tail, tail_ends = ids_of(rest, self.later.__getitem__, np.dtype("<u4"))
         # put the ids of each text's first piece before those of the others
         n_head = np.diff(head_ends, prepend=0)
         rows = np.arange(len(offsets))
@@ -162,7 +163,7 @@ def vocabulary(path: str, pattern: str) -> ByteBpe:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, offsets: bool) -> Iterator[pa.RecordBatch]:
     bpe = vocabulary(path, pattern)
-    for rows in text_slices(batches):
+    for rows in text_slices(batches, rows=1000):
         ids, ends = bpe.encode(rows.column("text"))
         columns = [rows.column("key"), binaries(ids, ends)]
         if offsets:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Text bytes and rows that a Python step works on at once; a longer text is a slice of its own.
-SLICE_BYTES, SLICE_ROWS = 2 << 20, 300
+SLICE_BYTES, SLICE_ROWS = 3 << 20, 300
 #: Most rows of the Arrow batches that carry texts to Python.
 BATCH_ROWS = 1000
 
@@ -87,8 +87,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of Arrow batches in slices of at most SLICE_ROWS and SLICE_BYTES of text (one row at least), null texts as
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices of at most `rows` and SLICE_BYTES of text (one row at least), null texts as
     empty ones."""
     for batch in batches:
         if not batch.num_rows:
@@ -99,7 +99,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         at = 0
         while at < batch.num_rows:
             limit = SLICE_BYTES + (ends[at - 1] if at else 0)
-            to = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(ends, limit, "right"))))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, limit, "right"))))
             yield batch.slice(at, to - at)
             at = to
 

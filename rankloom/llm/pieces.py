@@ -33,7 +33,7 @@ def ids_of(pieces: pa.Array, lookup: Callable[[str], bytes], dtype: np.dtype) ->
     """All ids of a string array's values in order, and the end of each value's ids among them."""
     coded = pieces.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    found = [lookup(x) for x in coded.dictionary.to_pylist()]
+    found = list(map(lookup, coded.dictionary.to_pylist()))
     flat = np.frombuffer(b"".join(found), dtype)
     size = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(dtype).itemsize
     first = np.cumsum(size) - size

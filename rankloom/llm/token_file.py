@@ -40,7 +40,7 @@ def tokenised(docs: DataFrame, key: str, text: str, path: str, end: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, before = word_bpe.tokenizer(path), 0
-        for part in text_slices(batches):
+        for part in text_slices(batches, rows=1000):
             ids, ends = bpe.encode(part.column("text"))
             ids = np.insert(ids, ends, end)  # after each document
             ends = ends + np.arange(1, len(ends) + 1)
