@@ -36,7 +36,7 @@ LENGTH = 400
 WINDOW = 320
 GROUP = 8
 #: Hulls of one core that are sorted together.
-SHARD_HULLS = 256
+SHARD_HULLS = 512
 SYMBOLS = 2
 #: Shard number of a core that has one shard only.
 ALONE = -1
@@ -125,11 +125,12 @@ def shard_order(hulls: list[tuple[int, bytes]], length: int) -> tuple[np.ndarray
     matrix = np.concatenate(rows)
     whose = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     start = np.concatenate([np.arange(len(r)) for r in rows])
-    order = np.argsort(matrix.view(f"S{length}")[:, 0], kind="stable")
-    matrix, whose, start = matrix[order], whose[order], start[order]
+    suffixes = matrix.view(f"S{length}")[:, 0]
+    order = np.argsort(suffixes, kind="stable")
     new = np.ones(len(matrix), bool)
-    new[1:] = (matrix[1:] != matrix[:-1]).any(axis=1)
-    return whose, start, np.cumsum(new) - 1
+    suffixes = suffixes[order]
+    new[1:] = suffixes[1:] != suffixes[:-1]
+    return whose[order], start[order], np.cumsum(new) - 1
 
 
 def shard_intervals(cut: DataFrame, length: int) -> DataFrame:
@@ -193,6 +194,8 @@ def merge(intervals: DataFrame) -> DataFrame:
         open_ = F.max(F.size("starts") > 0)
         total = left.groupBy("core", "block").agg(F.sum("n").alias("total"), open_.alias("open"))
         total = total.filter("total > 1 and open").select("core", "block")
+        if depth == SYMBOLS - 1:  # only open strings are asked for; the others have been counted
+            left = left.filter(F.size("starts") > 0)
         left = stored(left.join(total, ["core", "block"], "left_semi"), f"depth-{depth}", "zstd")
     found = left.select("starts").union(intervals.filter(F.col("symbols").isNull()).select("starts"))
     return found.select(F.explode("starts").alias("s")).select("s.*")
