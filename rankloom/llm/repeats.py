@@ -11,7 +11,7 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
    repeats. The hulls of a core are dealt to shards of bounded size, and each shard sorts the suffixes that start at
    its strings: rows of the shard's Burrows-Wheeler matrix, with equal neighbours as one interval.
 4. Merging. Where a core has several shards, their orders are interleaved by refinement: intervals are first put
-   together by the first symbol of `length / 2` bytes, then by the next within those. An interval that is alone in the
+   together by the first symbol (three quarters of their bytes), then by the next within those. An interval that is alone in the
    interleave at some depth is unique, and one whose neighbours all stand twice in their own shards is settled; both
    go out of the next round. What is left at full depth are the repeated intervals. No suffix is sorted again.
 
@@ -38,6 +38,8 @@ GROUP = 8
 #: Hulls of one core that are sorted together.
 SHARD_HULLS = 512
 SYMBOLS = 2
+#: Where the first symbol ends, as a part of a string. Strings of a core share it, so a symbol within it tells nothing.
+FIRST = 0.75
 #: Shard number of a core that has one shard only.
 ALONE = -1
 
@@ -137,7 +139,7 @@ def shard_intervals(cut: DataFrame, length: int) -> DataFrame:
     """(core, n, symbols, starts). With symbols (hashes of its bytes in SYMBOLS parts): an interval to be merged, of n
     strings, with the (key, mark, start) of its string if that is one, and open. Without: open strings of an interval
     of several. A lone shard has only these."""
-    part = -(-length // SYMBOLS)
+    cuts = (0, int(length * FIRST), length)
 
     def shard(rows: list[tuple]) -> Iterator[tuple]:
         hulls = [r[6] for r in rows]
@@ -151,7 +153,7 @@ def shard_intervals(cut: DataFrame, length: int) -> DataFrame:
             own = [(rows[w][2], rows[w][3], rows[w][4] + int(s)) for w, s in zip(whose[a:b], start[a:b], strict=True) if rows[w][5]]
             if rows[0][1] != ALONE:
                 raw = hulls[whose[a]][start[a] : start[a] + length]
-                symbols = [_signed(xxh64_intdigest(raw[i : i + part])) for i in range(0, length, part)]
+                symbols = [_signed(xxh64_intdigest(raw[i:j])) for i, j in zip(cuts, cuts[1:], strict=False)]
                 yield rows[0][0], int(b - a), symbols, own if b - a == 1 else []
             if own and b - a > 1:  # stands twice in this shard already
                 yield rows[0][0], int(b - a), None, own
