@@ -111,7 +111,11 @@ def drop_near_duplicates(
     marked = stored(fingerprints(docs, key, text, words), "fingerprints")
     root = roots(marked, radius)
     group = F.coalesce(root.v, marked.fp)
-    kept = marked.join(root, marked.fp == root.u, "left").select(marked[key], "mark", group.alias("group"))
+    return first_of_groups(docs, marked.join(root, marked.fp == root.u, "left").select(marked[key], "mark", group.alias("group")), key, text)
+
+
+def first_of_groups(docs: DataFrame, kept: DataFrame, key: str, text: str) -> DataFrame:
+    """The documents, all columns, that come first in their group of `kept` (key, mark, group)."""
     first = Window.partitionBy("group").orderBy(F.col(key).asc_nulls_last(), "mark")
     kept = kept.withColumn("n", F.row_number().over(first)).filter("n = 1").select(F.col(key).alias("key"), "mark")
     mark, n = fresh(docs, "mark"), fresh(docs, "n")
