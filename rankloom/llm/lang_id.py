@@ -3,10 +3,11 @@
 A text's vector counts its byte bigrams and trigrams (letters lower-cased, everything that is no letter one blank) in
 hashed buckets, as log(1 + count) times the bucket's inverse document frequency, scaled to length one. Each language
 has several centroids, found by spherical k-means. A text goes to the language of its nearest centroid, and is
-rejected if that is farther than the language's own training texts ever were, with a margin.
+rejected if it is less similar than a part of what nearly all labelled texts of the language and of its length reach.
 
 The model is fitted on a bounded sample: at most `per_language` labelled texts of each language, the first by a hash
-of their id, so that it does not depend on partitions or order. Prediction reads every whole text.
+of their id, so that it does not depend on partitions or order. The floors come from all learnable labelled texts.
+Prediction reads every whole text.
 
 Defined results: a null text, an empty one or one without a letter is `und`, score 0, rejected; without any labelled
 text every text is `und`; rows are answered one by one, so repeated rows, null keys and extra columns do not matter;
@@ -15,6 +16,7 @@ an empty table gives an empty one.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +30,17 @@ from rankloom.llm.common import fresh, held_out, kept, mapped, text_slices
 BUCKETS = 4096
 PER_LANGUAGE = 200
 CLUSTERS = 4
-#: A text is rejected below this part of the least similarity of its language's training texts: short clean texts lie
-#: far from all centroids too, and must stay.
-MARGIN = 0.1
+#: A text is rejected below this part of the QUANTILE of the similarities of its language's texts of its length: clean
+#: texts of another kind than the labelled ones lie far from all centroids too, and must stay. Random text comes nearer
+#: the longer it is, so each doubling beyond 2 ** LONG n-grams adds MORE.
+MARGIN = 0.25
+LONG, MORE = 8, 0.05
+QUANTILE = 0.01
+#: Lengths are counted in doublings of the number of different n-grams; a length of fewer rows than LEAST has half the
+#: floor of the next longer one.
+LENGTHS = 14
+LEAST = 20
+STEPS = 1000
 UNKNOWN = "und"
 
 _LETTER = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)])
@@ -68,15 +78,20 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     langs: list[str]  # of each centroid
-    floors: np.ndarray  # the least similarity that each centroid's language accepts
+    floors: np.ndarray  # the least similarity that each centroid's language accepts, by length
 
-    def vectors(self, texts: list[str]) -> np.ndarray:
-        return unit(np.log1p(counts(texts, len(self.idf))).astype(np.float32) * self.idf)
+    def similar(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The similarities with all centroids, and the length of each text."""
+        tf = np.log1p(counts(texts, len(self.idf))).astype(np.float32)
+        grams = np.maximum((tf > 0).sum(axis=1), 1)
+        return unit(tf * self.idf) @ self.centroids.T, np.minimum(np.log2(grams).astype(int), LENGTHS - 1)
 
-    def nearest(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        similar = self.vectors(texts) @ self.centroids.T
+    def nearest(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nearest centroid of each text, its similarity, and whether that is below the floor."""
+        similar, length = self.similar(texts)
         best = similar.argmax(axis=1)
-        return best, np.clip(similar[np.arange(len(texts)), best], 0, 1)
+        near = np.clip(similar[np.arange(len(texts)), best], 0, 1)
+        return best, near, near < self.floors[best, length]
 
 
 def k_means(vectors: np.ndarray, clusters: int, rounds: int = 12) -> np.ndarray:
@@ -92,9 +107,13 @@ def k_means(vectors: np.ndarray, clusters: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
+def learnable_rows(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    return docs.filter(docs[lang].isNotNull() & docs[text].isNotNull() & ~held_out(docs[key]))
+
+
 def sample(docs: DataFrame, key: str, text: str, lang: str, per_language: int) -> DataFrame:
     """(lang, text) of at most per_language learnable rows of each language. Ids are chosen before texts are read."""
-    learnable = docs.filter(docs[lang].isNotNull() & docs[text].isNotNull() & ~held_out(docs[key]))
+    learnable = learnable_rows(docs, key, text, lang)
     ids = learnable.select(docs[key].alias("key"), docs[lang].alias("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
     ids = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
@@ -130,24 +149,61 @@ def fit(
         for name in np.unique(langs):
             own = vectors[langs == name]
             centroids = k_means(own, clusters)
-            floor = float((own @ centroids.T).max(axis=1).min()) * margin
             for c in centroids:
                 yield pa.RecordBatch.from_pylist(
-                    [{"lang": str(name), "floor": floor, "centroid": c.tobytes(), "idf": idf.tobytes()}],
-                    pa.schema([("lang", pa.string()), ("floor", pa.float64()), ("centroid", pa.binary()), ("idf", pa.binary())]),
+                    [{"lang": str(name), "centroid": c.tobytes(), "idf": idf.tobytes()}],
+                    pa.schema([("lang", pa.string()), ("centroid", pa.binary()), ("idf", pa.binary())]),
                 )
 
     chosen = sample(docs, key, text, lang, per_language).coalesce(1)
-    found = mapped(chosen, train, "lang string, floor double, centroid binary, idf binary").collect()
+    found = mapped(chosen, train, "lang string, centroid binary, idf binary").collect()
     if not found:
         return None
     array = lambda raw: np.frombuffer(raw, np.float32)
-    return Model(
-        array(found[0].idf),
-        np.stack([array(r.centroid) for r in found]),
-        [r.lang for r in found],
-        np.array([r.floor for r in found]),
-    )
+    langs = [r.lang for r in found]
+    model = Model(array(found[0].idf), np.stack([array(r.centroid) for r in found]), langs, np.zeros((len(langs), LENGTHS)))
+    model.floors = floors(learnable_rows(docs, key, text, lang), model, text, lang, margin)
+    return model
+
+
+def floors(learnable: DataFrame, model: Model, text: str, lang: str, margin: float) -> np.ndarray:
+    """The floors of each centroid's language by length, from how similar all its learnable texts are to it."""
+    langs = np.array(model.langs, object)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
+        found: Counter[tuple[str, int, int]] = Counter()
+        for rows in text_slices(batches):
+            texts, names = rows.column("text").to_pylist(), np.array(rows.column("lang").to_pylist(), object)
+            similar, length = model.similar(texts)
+            own = np.where(names[:, None] == langs[None, :], similar, 0).max(axis=1)
+            step = (np.clip(own, 0, 1) * STEPS).astype(int)
+            found.update((n, int(k), int(s)) for n, k, s, t in zip(names, length, step, texts, strict=True) if has_letter(t))
+        lists = [[k[i] for k in found] for i in range(3)] + [list(found.values())]
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(lists, kinds, strict=True)], ["lang", "length", "step", "n"])
+
+    chosen = learnable.select(learnable[lang].alias("lang"), learnable[text].alias("text"))
+    found = mapped(chosen, run, "lang string, length int, step int, n bigint")
+    table = {name: np.zeros((LENGTHS, STEPS + 1), np.int64) for name in model.langs}
+    for r in found.groupBy("lang", "length", "step").agg(F.sum("n").alias("n")).collect():
+        table[r.lang][r.length, r.step] = r.n
+    part = np.minimum(margin + MORE * np.maximum(np.arange(LENGTHS) - LONG, 0), 1)
+    by_lang = {name: _floors_of(n) * part for name, n in table.items()}
+    return np.stack([by_lang[name] for name in model.langs])
+
+
+def _floors_of(n: np.ndarray) -> np.ndarray:
+    """The quantile for each length, from the numbers of texts by length and similarity step."""
+    rows = n.sum(axis=1)
+    known = np.flatnonzero(rows >= min(LEAST, max(1, rows.max())))
+    out = np.zeros(LENGTHS)
+    for k in known:
+        out[k] = np.searchsorted(n[k].cumsum(), QUANTILE * rows[k], "right") / STEPS
+    out[known[-1] :] = out[known[-1]]
+    for k in range(known[-1] - 1, -1, -1):
+        out[k] = min(out[k], out[k + 1]) if k in known else out[k + 1] / 2
+    return out
 
 
 def has_letter(text: str) -> bool:
@@ -166,9 +222,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             lang, score, rejected = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), ~known
             some = np.flatnonzero(known)
             if len(some):
-                best, near = model.nearest([texts[k] for k in some])
+                best, near, far = model.nearest([texts[k] for k in some])
                 lang[some], score[some] = np.array(model.langs, object)[best], near
-                rejected[some] = near < model.floors[best]
+                rejected[some] = far
             kinds = (pa.string(), pa.float64(), pa.bool_())
             for name, values, kind in zip(names, (lang, score, rejected), kinds, strict=True):
                 rows = rows.append_column(name, pa.array(values, kind))

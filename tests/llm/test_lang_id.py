@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import base64
+import random
 import zlib
 
 import numpy as np
@@ -61,3 +63,24 @@ def test_far_text_is_rejected(spark):
     docs = spark.createDataFrame(data, DOCS)
     kept = {r.doc_id for r in lang_id.keep_known(docs).collect()}
     assert kept == set(range(60))
+
+
+def test_foreign_texts_go_and_clean_ones_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(5)
+    script = lambda a, z, n: "".join(chr(rng.randint(a, z)) if rng.random() > 0.16 else " " for _ in range(n))
+    foreign = []
+    for n in (150, 400, 1000, 3000):
+        foreign += [script(a, z, n) for a, z in ((0x4E00, 0x9FFF), (0x430, 0x44F), (0x627, 0x64A), (0x3B1, 0x3C9))]
+        foreign += [script(97, 122, n), base64.b64encode(rng.randbytes(n)).decode()]
+    data = [(10**9 + i, t, None, "s", 1) for i, t in enumerate(foreign)]
+    data += [(2 * 10**9, "The river was calm and the boats were home.", None, "s", 1)]
+    got = lang_id.predict(docs.union(spark.createDataFrame(data, DOCS)), lang_id.fit(docs)).collect()
+    assert {r.doc_id for r in got if r.rejected and lang_id.has_letter(r.text)} == {d[0] for d in data[:-1]}
+
+
+def test_a_short_length_with_few_rows_asks_less():
+    n = np.zeros((lang_id.LENGTHS, lang_id.STEPS + 1), np.int64)
+    n[8, 600], n[8, 50], n[6, 900], n[9, 500] = 5000, 10, 3, 40
+    floor = lang_id._floors_of(n)
+    assert floor[8] == floor[9] == floor[-1] == 0.5 and floor[7] == 0.25 and floor[6] == 0.125
