@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings by merged suffix orders.
+"""Exact removal of repeated byte strings by content anchors, shard sorts and hash counting.
 
 A byte goes if a string of `length` bytes that covers it also starts anywhere else, in any document.
 
@@ -9,10 +9,10 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
 2. Hulls. An anchor's hull holds all strings that the anchor answers for. If the whole hull stands twice, all do.
 3. Suffix orders. What remains are the distinct hulls of anchors that share a core but not the hull: the edges of
    repeats. The hulls of a core are dealt to shards of bounded size, and each shard sorts the suffixes that start at
-   its strings: rows of the shard's Burrows-Wheeler matrix, with equal neighbours as one interval.
-4. Merging. Where a core has several shards, their orders are interleaved by refinement: intervals are first put
-   together by the first symbol (three quarters of their bytes), then by the next within those. An interval that is alone in the
-   interleave at some depth is unique, and one whose neighbours all stand twice in their own shards is settled; both
+   its strings, with equal neighbours as one interval.
+4. Merging. Where a core has several shards, their intervals are counted by hash: they are first put
+   together by a hash of the first symbol (three quarters of their bytes), then by the next within those. An interval that is alone
+   at some depth is unique, and one whose neighbours all stand twice in their own shards is settled; both
    go out of the next round. What is left at full depth are the repeated intervals. No suffix is sorted again.
 
 Documents are rows: equal rows are documents of their own that repeat each other. Defined results: a null text counts
@@ -189,7 +189,7 @@ def shard_intervals(cut: DataFrame, length: int) -> DataFrame:
 
 
 def merge(intervals: DataFrame) -> DataFrame:
-    """(key, mark, start) of the open strings that stand twice: shard orders interleaved, one symbol a round."""
+    """(key, mark, start) of the open strings that stand twice: intervals of shards counted by hash, one symbol a round."""
     left = intervals.filter(F.col("symbols").isNotNull()).withColumn("block", F.col("core"))
     for depth in range(SYMBOLS):
         left = left.withColumn("block", F.xxhash64("block", F.col("symbols")[depth]))
