@@ -19,6 +19,9 @@ SLICE_BYTES, SLICE_ROWS = 3 << 20, 300
 BATCH_ROWS = 1000
 
 
+_FOLDERS: dict[str, str] = {}
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
@@ -26,14 +29,17 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Where it is unset, a local session gets a temporary folder; on a cluster that would lose data, so it is refused.
+    Where it is unset, a local session gets a temporary folder of its own; on a cluster that would lose data, so it is
+    refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.conf.get("spark.master", "").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="rankloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _FOLDERS:
+            _FOLDERS[app] = tempfile.mkdtemp(prefix="rankloom-")
+        found = _FOLDERS[app]
     return found.rstrip("/")
 
 

@@ -9,8 +9,9 @@ from rankloom.llm.common import stored
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): m is the least of u and all of its v. Sums before it joins, so a node with many links is split."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    """(u, v, m): m is the least of u and all of its v. The least ones are written first: Spark splits a node with
+    many links only where both sides of the join come straight from a shuffle, and not from a sum over the same key."""
+    least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
     return pairs.join(least, "u").withColumn("m", F.least("u", "m"))
 
 

@@ -8,8 +8,11 @@ Both sides are compared with letters lower-cased and each white space character
 of the original text. Items go to the executors in groups of at most `group_characters`; a larger benchmark takes
 several readings, each with its own automaton, and the driver holds one group at a time.
 
-Defined results: null or empty texts match nothing; items that are null or shorter than `least` characters are no
-tests and match nothing; repeated items and rows are answered each; null keys stay; an empty benchmark or table gives
+An item shorter than `least` characters must stand unchanged, and as whole words: letters or digits at its ends have
+none beside them in the text, so that clean documents stay.
+
+Defined results: null or empty texts match nothing, nor do null or empty items; a very long text is read in one go,
+as the automaton keeps only its hits; repeated items and rows are answered each; null keys stay; an empty benchmark or table gives
 an empty result; extra columns are ignored (and kept by drop_contaminated).
 """
 
@@ -80,8 +83,9 @@ def verified(item: str, stretch: str, budget: int) -> tuple[int, int, int] | Non
 class Matcher:
     """The automaton of a group of items [(item key, folded text)]."""
 
-    def __init__(self, items: list[tuple[object, str]], rate: float):
-        self.items = [(key, text, int(len(text) * rate)) for key, text in items]
+    def __init__(self, items: list[tuple[object, str]], rate: float, least: int = LEAST):
+        self.least = least
+        self.items = [(key, text, int(len(text) * rate) if len(text) >= least else 0) for key, text in items]
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, text, budget) in enumerate(self.items):
             cuts = [len(text) * i // (budget + 1) for i in range(budget + 2)]
@@ -105,12 +109,21 @@ class Matcher:
         for n, starts in near.items():
             key, item, budget = self.items[n]
             for a, b in stretches(sorted(set(starts)), len(item), budget, len(text)):
-                hit = verified(item, text[a:b], budget)
+                if len(item) < self.least:
+                    hit = (0, b - a, 0) if whole_words(text, a, b) else None
+                else:
+                    hit = verified(item, text[a:b], budget)
                 if hit:
                     found.append((key, a + hit[0], a + hit[1], hit[2]))
         return found
 
 
+def whole_words(text: str, start: int, stop: int) -> bool:
+    """No word of the text is cut at the start or the stop of the stretch."""
+    ends = (text[max(start - 1, 0) : start + 1], text[stop - 1 : stop + 1])
+    return not any(len(pair) == 2 and pair.isalnum() for pair in (ends[0] if start else "", ends[1]))
+
+
 def stretches(starts: list[int], length: int, budget: int, end: int) -> Iterator[tuple[int, int]]:
     """Where an item that may start around `starts` (ascending) can lie; starts within the budget of each other share one."""
     first = last = None
@@ -122,14 +135,14 @@ def stretches(starts: list[int], length: int, budget: int, end: int) -> Iterator
         last = at
 
 
-def _matcher(name: str, shared: Broadcast, rate: float) -> Matcher:
-    return kept("matcher", name, make=lambda: Matcher(shared.value, rate))
+def _matcher(name: str, shared: Broadcast, rate: float, least: int) -> Matcher:
+    return kept("matcher", name, make=lambda: Matcher(shared.value, rate, least))
 
 
-def _groups(benchmark: DataFrame, key: str, text: str, least: int, group_characters: int) -> tuple[DataFrame, int]:
+def _groups(benchmark: DataFrame, key: str, text: str, group_characters: int) -> tuple[DataFrame, int]:
     """The items with a group number, and the number of groups; a group holds at most group_characters or one item."""
     size = F.length(benchmark[text])
-    items = benchmark.filter(size >= least).select(benchmark[key].alias("key"), benchmark[text].alias("text"))
+    items = benchmark.filter(size > 0).select(benchmark[key].alias("key"), benchmark[text].alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = 1 + int(2 * total // group_characters)  # dealt by hash: twice as many as would just do
     return items.withColumn("group", F.pmod(F.xxhash64("text", "key"), F.lit(groups))), groups if total else 0
@@ -151,14 +164,14 @@ def matches(
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     schema = f"key {kind}, item {item_kind}, start int, stop int, edits int"
     chosen = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    items, groups = _groups(benchmark, item_key, item_text, least, group_characters)
+    items, groups = _groups(benchmark, item_key, item_text, group_characters)
     found = spark.createDataFrame([], schema)
     for group in range(groups):
         rows = items.filter(F.col("group") == group).select("key", "text").collect()
         shared = spark.sparkContext.broadcast([(r.key, folded(r.text)) for r in rows])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(name, shared, rate)
+            matcher = _matcher(name, shared, rate, least)
             for part in text_slices(batches):
                 keys, texts = part.column("key"), part.column("text").to_pylist()
                 hits = [(i, *hit) for i, t in enumerate(texts) for hit in matcher.find(t)]
@@ -184,13 +197,13 @@ def drop_contaminated(
 ) -> DataFrame:
     """The documents, unchanged, but those that hold an item."""
     spark = docs.sparkSession
-    items, groups = _groups(benchmark, item_key, item_text, least, group_characters)
+    items, groups = _groups(benchmark, item_key, item_text, group_characters)
     for group in range(groups):
         rows = items.filter(F.col("group") == group).select("key", "text").collect()
         shared = spark.sparkContext.broadcast([(r.key, folded(r.text)) for r in rows])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(name, shared, rate)
+            matcher = _matcher(name, shared, rate, least)
             for batch in batches:
                 clean = [not (t and matcher.find(t)) for t in batch.column(text).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))

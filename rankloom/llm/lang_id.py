@@ -5,8 +5,9 @@ hashed buckets, as log(1 + count) times the bucket's inverse document frequency,
 has several centroids, found by spherical k-means. A text goes to the language of its nearest centroid, and is
 rejected if it is less similar than a part of what nearly all labelled texts of the language and of its length reach.
 
-The model is fitted on a bounded sample: at most `per_language` labelled texts of each language, the first by a hash
-of their id, so that it does not depend on partitions or order. The floors come from all learnable labelled texts.
+The centroids are fitted on a bounded sample: at most `per_language` labelled texts of each language, the first by a
+hash of their id, so that they do not depend on partitions or order. Document frequencies and floors come from all
+learnable labelled texts.
 Prediction reads every whole text.
 
 Defined results: a null text, an empty one or one without a letter is `und`, score 0, rejected; without any labelled
@@ -131,7 +132,9 @@ def fit(
     buckets: int = BUCKETS,
     margin: float = MARGIN,
 ) -> Model | None:
-    """The model, from the bounded sample in one task; None if nothing is labelled."""
+    """The model, its centroids from the bounded sample in one task; None if nothing is labelled."""
+    learnable = learnable_rows(docs, key, text, lang)
+    idf = inverse_frequencies(learnable.select(docs[text].alias("text")), buckets)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs: list[str] = []
@@ -144,28 +147,44 @@ def fit(
         tf, langs = np.concatenate(parts), np.array(langs)
         order = np.lexsort([*tf[:, :8].T, langs])  # by content: the model is the same however rows come
         tf, langs = tf[order], langs[order]
-        idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))).astype(np.float32) + 1
         vectors = unit(tf * idf)
         for name in np.unique(langs):
             own = vectors[langs == name]
             centroids = k_means(own, clusters)
             for c in centroids:
                 yield pa.RecordBatch.from_pylist(
-                    [{"lang": str(name), "centroid": c.tobytes(), "idf": idf.tobytes()}],
-                    pa.schema([("lang", pa.string()), ("centroid", pa.binary()), ("idf", pa.binary())]),
+                    [{"lang": str(name), "centroid": c.tobytes()}],
+                    pa.schema([("lang", pa.string()), ("centroid", pa.binary())]),
                 )
 
-    chosen = sample(docs, key, text, lang, per_language).coalesce(1)
-    found = mapped(chosen, train, "lang string, centroid binary, idf binary").collect()
+    chosen = sample(docs, key, text, lang, per_language).repartition(1)  # only the sampled rows move
+    found = mapped(chosen, train, "lang string, centroid binary").collect()
     if not found:
         return None
     array = lambda raw: np.frombuffer(raw, np.float32)
     langs = [r.lang for r in found]
-    model = Model(array(found[0].idf), np.stack([array(r.centroid) for r in found]), langs, np.zeros((len(langs), LENGTHS)))
-    model.floors = floors(learnable_rows(docs, key, text, lang), model, text, lang, margin)
+    model = Model(idf, np.stack([array(r.centroid) for r in found]), langs, np.zeros((len(langs), LENGTHS)))
+    model.floors = floors(learnable, model, text, lang, margin)
     return model
 
 
+def inverse_frequencies(texts: DataFrame, buckets: int) -> np.ndarray:
+    """Inverse document frequency of each bucket over all texts: a row a bucket and task is summed, then collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
+        n = np.zeros(buckets + 1, np.int64)  # the last counts the texts
+        for rows in text_slices(batches):
+            found = counts(rows.column("text").to_pylist(), buckets)
+            n += np.append((found > 0).sum(axis=0), len(found))
+        yield pa.RecordBatch.from_arrays([pa.array(range(buckets + 1), pa.int32()), pa.array(n)], ["bucket", "n"])
+
+    n = np.zeros(buckets + 1)
+    for r in mapped(texts, run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        n[r.bucket] = r.n
+    return np.log((1 + n[-1]) / (1 + n[:-1])).astype(np.float32) + 1
+
+
 def floors(learnable: DataFrame, model: Model, text: str, lang: str, margin: float) -> np.ndarray:
     """The floors of each centroid's language by length, from how similar all its learnable texts are to it."""
     langs = np.array(model.langs, object)

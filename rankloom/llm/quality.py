@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         weights = [np.asarray(net.p[k], np.float32).tobytes() for k in names]
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(weights, pa.binary())], ["name", "weights"])
 
-    found = mapped(rows.join(F.broadcast(taught), "key").coalesce(1), train, "name string, weights binary").collect()
+    found = mapped(rows.join(F.broadcast(taught), "key").repartition(1), train, "name string, weights binary").collect()
     if not found:
         return None
     shapes = Network.SHAPES

@@ -32,7 +32,7 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     model = lang_id.fit(docs)
     found = lang_id.predict(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,6 +64,7 @@ def op4_repeats(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        (F.size("spans") > 0).alias("has_repeat"),
     )
 
 
@@ -100,6 +101,7 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
         *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
         F.sha2(pii.written(base), 256).alias("base_sha256"),
         pii.written(F.col(spans)).alias("spans"),
+        F.size(spans).cast("long").alias("n_spans"),
     )
 
 

@@ -120,6 +120,6 @@ def first_of_groups(docs: DataFrame, kept: DataFrame, key: str, text: str) -> Da
     kept = kept.withColumn("n", F.row_number().over(first)).filter("n = 1").select(F.col(key).alias("key"), "mark")
     mark, n = fresh(docs, "mark"), fresh(docs, "n")
     own = docs.withColumn(mark, F.xxhash64(docs[key], docs[text]))
-    once = Window.partitionBy(mark).orderBy(F.col(key).asc_nulls_last())
+    once = Window.partitionBy(mark, key).orderBy(key)  # by key too: a hash that two documents share loses neither
     own = own.withColumn(n, F.row_number().over(once)).filter(F.col(n) == 1).drop(n)
     return own.join(kept, (own[mark] == kept.mark) & own[key].eqNullSafe(kept.key), "left_semi").drop(mark)

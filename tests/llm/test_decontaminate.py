@@ -30,7 +30,15 @@ def test_distance(pattern, text):
 
 def brute(docs, items, rate=decontaminate.RATE):
     fold = decontaminate.folded
-    return sorted((k, n) for k, t in docs for n, item in items if t and item and len(item) >= decontaminate.LEAST and min(least_edits(fold(item), fold(t))) <= int(len(item) * rate))
+
+    def stands(item, t):
+        if len(item) >= decontaminate.LEAST:
+            return min(least_edits(item, t)) <= int(len(item) * rate)
+        at = [i for i in range(len(t)) if t.startswith(item, i)]
+        cut = lambda k: 0 < k < len(t) and t[k - 1].isalnum() and t[k].isalnum()
+        return any(not cut(i) and not cut(i + len(item)) for i in at)
+
+    return sorted((k, n) for k, t in docs for n, item in items if t and item and stands(fold(item), fold(t)))
 
 
 def pairs(found):
@@ -94,3 +102,14 @@ def test_a_part_of_an_item_is_no_leak(spark):
     item = prose(40, 5)
     docs = spark.createDataFrame([(1, prose(30, 9) + " " + item[60:120] + " " + prose(30, 11))], "doc_id long, text string")
     assert rows(decontaminate.matches(docs, spark.createDataFrame([(1, item)], ITEMS))) == []
+
+
+def test_short_items_stand_as_whole_words(spark):
+    items = [(1, "abc"), (2, "two words"), (3, "(x)"), (4, "7"), (5, ""), (6, None)]
+    docs = [(1, "xx abc yy"), (2, "xxabc yy abcd"), (3, "ABC"), (4, "in two\nwords, or"), (5, "two  words"), (6, "f(x)=7a"), (7, "17 7.7"), (8, None), (9, "abc abc")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEMS)
+    got = decontaminate.matches(docs, items)
+    assert pairs(got) == brute([tuple(r) for r in docs.collect()], [tuple(r) for r in items.collect()])
+    assert pairs(got) == [(1, 1), (3, 1), (4, 2), (6, 3), (7, 4), (9, 1)]
+    assert sorted((r.start, r.stop) for r in got.collect() if r.doc_id == 9) == [(0, 3), (4, 7)]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()) == [2, 5, 8]
