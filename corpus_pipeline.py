@@ -1,8 +1,8 @@
 """Corpus pipeline over documents: each stage works on all that the one before it kept.
 
 1. language: documents without a letter, or farther from every language than its own texts are, go.
-2. near_duplicates: of each group of near copies (five-word shingles, Jaccard 0.8 at least, exact) one document stays,
-   the one with the least id.
+2. near_duplicates: of each group of documents whose SimHash fingerprints link (three-word shingles, 2 bits at most,
+   as op5 has them) one document stays, the one with the least id.
 3. decontamination: documents that hold a benchmark item, within its edit budget, go.
 4. personal_data: e-mail addresses, IP addresses, card and telephone numbers are replaced by their kind.
 5. tokens: texts become byte-level BPE ids, and are decoded again.
@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import byte_bpe, decontaminate, lang_id, near_copies, pii
+from rankloom.llm import byte_bpe, decontaminate, lang_id, pii, simhash
 from rankloom.llm.common import read, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.drop_near_copies(docs)
+    return simhash.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
