@@ -43,17 +43,25 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def place(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder, for a table that goes when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/rankloom-{uuid.uuid4().hex}/{label}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
 def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet below the shared folder and read it back: its lineage ends there.
 
     The folder goes when the session's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/rankloom-{uuid.uuid4().hex}/{label}"
+    path = place(spark, label)
     df.write.option("compression", compression).parquet(path)
     spark._jvm.System.gc()  # lets Spark drop the shuffle files of the jobs that made it, which nothing needs any more
-    at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.parquet(path)
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import byte_bpe, decontaminate, lang_id, permutation_index, pii, quality, repeats, simhash, token_file, url_rules
+from rankloom.llm import byte_bpe, decontaminate, filter_audit, importance, lang_id, permutation_index, pii, quality, repeats, simhash, token_file, url_rules
 from rankloom.llm.common import held_out, read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,14 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def op13_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.draw(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {name: query for name, query in globals().items() if name.startswith("op")}
 
@@ -115,6 +123,8 @@ _FITS = " ".join(
 )
 _RULES = sorted(URL_RULES, key=lambda rule: -len(rule[0] + rule[1]))
 
+_WORDS = rf"""regexp_extract_all(translate(coalesce(text, ''), '{importance.UPPER}', '{importance.LOWER}'), '{importance.WORD}')"""
+
 SQL: dict[str, str] = {
     "op1_url_rules": rf"""
         WITH parts AS (
@@ -126,4 +136,79 @@ SQL: dict[str, str] = {
             CASE {_FITS.format(*(f"'{host}{path}'" for host, path, _ in _RULES))} END AS rule,
             CASE {_FITS.format(*(f"'{verdict}'" for *_, verdict in _RULES))} ELSE 'allow' END AS verdict
         FROM lowered""",
+    "op12_filter_audit": r"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), taught AS (
+            SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+            FROM labels GROUP BY doc_id
+        ), masks AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+                + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+                + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END
+                + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+                + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+            FROM texts LEFT JOIN taught USING (doc_id)
+        ), cells AS (
+            SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY part, mask
+        ), letters(name, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        orders AS (
+            SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+        ), steps AS (
+            SELECT filter_order, step, bits[step] AS bit, list_sum(bits[:step])::INTEGER AS after, list_sum(bits[:step])::INTEGER - bits[step] AS before
+            FROM orders, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step)
+        ), found AS (
+            SELECT part, filter_order, step, substr(filter_order, step, 1) AS filter,
+                sum(CASE WHEN mask & after = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+                sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+            FROM cells, steps GROUP BY part, filter_order, step, substr(filter_order, step, 1)
+        )
+        SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM found""",
+    "op13_importance": rf"""
+        WITH crc_table AS (
+            SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS crcs
+            FROM (SELECT unnest(range(256)) AS n)
+        ), corpus AS (
+            SELECT doc_id, unnest({{words}}) AS word FROM documents
+        ), target AS (
+            SELECT unnest({{words}}) AS word FROM benchmark
+        ), spelt AS (
+            SELECT word, list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT) AS bytes
+            FROM (SELECT word FROM corpus UNION SELECT word FROM target)
+        ), hashed AS (
+            SELECT word, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) % {importance.BUCKETS} AS bucket
+            FROM spelt, crc_table
+        ), s AS (SELECT bucket, count(*) AS s FROM corpus JOIN hashed USING (word) GROUP BY bucket),
+        t AS (SELECT bucket, count(*) AS t FROM target JOIN hashed USING (word) GROUP BY bucket),
+        gains AS (
+            SELECT bucket, floor(1000 * ln(
+                (coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + {importance.BUCKETS})::DOUBLE
+                / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + {importance.BUCKETS})::DOUBLE)))::BIGINT AS gain
+            FROM s FULL JOIN t USING (bucket)
+        ), sums AS (
+            SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS gain
+            FROM corpus JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+        ), weights AS (
+            SELECT doc_id, coalesce(n_features, 0) AS n_features,
+                coalesce(floor(gain::DOUBLE / n_features), 0)::BIGINT AS weight,
+                ('0x' || substr(sha256('{importance.SEED}:' || doc_id), 1, 8))::BIGINT AS h
+            FROM documents LEFT JOIN sums USING (doc_id)
+        ), scores AS (
+            SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score,
+                n_features >= {importance.LEAST_WORDS} AS able
+            FROM weights
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS n FROM scores
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= {importance.PERCENT} * n // 100 THEN place END AS rank
+        FROM ranked""".replace("{words}", _WORDS),
 }
