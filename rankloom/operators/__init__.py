@@ -1,9 +1,11 @@
-"""Operators: each takes a DataFrame and returns a DataFrame; none runs a job by itself."""
+"""Operators: each takes a DataFrame and returns a DataFrame; none runs a job by itself, but those
+that write (`write_*`)."""
 
 from rankloom.operators.clean import apply_corrections, clean, distinct_rows
 from rankloom.operators.counts import column_ranges, counts, distinct_entities, totals
 from rankloom.operators.features import binned_feature_points, feature_points, histogram
 from rankloom.operators.hierarchy import hierarchy, hierarchy_json, hierarchy_lines, hierarchy_nodes
+from rankloom.operators.positions import page_at, read_positions, write_positions
 from rankloom.operators.shares import ranked_share, stack_segments
 from rankloom.operators.tables import page, search, sort_table
 from rankloom.operators.top import top_k, top_k_per_period, top_k_rows, top_k_with_ties
@@ -24,7 +26,9 @@ __all__ = [
     "hierarchy_nodes",
     "histogram",
     "page",
+    "page_at",
     "ranked_share",
+    "read_positions",
     "search",
     "sort_table",
     "stack_segments",
@@ -34,4 +38,5 @@ __all__ = [
     "top_k_with_ties",
     "totals",
     "word_counts",
+    "write_positions",
 ]

@@ -20,7 +20,7 @@ def _keys(order: Sequence[str]) -> list[tuple[str, bool]]:
     return [(name[1:], False) if name.startswith("-") else (name, True) for name in order]
 
 
-def _sort_columns(df: DataFrame, order: Sequence[str]) -> list[Column]:
+def sort_columns(df: DataFrame, order: Sequence[str]) -> list[Column]:
     named = _keys(order)
     others = [(name, True) for name in df.columns if name not in dict(named)]
     return [F.col(name).asc_nulls_last() if up else F.col(name).desc_nulls_last() for name, up in [*named, *others]]
@@ -32,7 +32,7 @@ def sort_table(df: DataFrame, *order: str) -> DataFrame:
     Equal rows go by the other columns, ascending. That makes the order certain, and lets Spark cut a value
     that much of the table shares into several partitions.
     """
-    return df.orderBy(*_sort_columns(df, order))
+    return df.orderBy(*sort_columns(df, order))
 
 
 def page(
@@ -53,4 +53,4 @@ def page(
             beyond = (column > last if up else column < last) | ((column == last) & beyond)
         df = df.where(beyond)
     shown = sort_table(df, *order).offset(skipped).limit(size)
-    return shown.withColumn("position", F.row_number().over(Window.orderBy(*_sort_columns(df, order))) + skipped)
+    return shown.withColumn("position", F.row_number().over(Window.orderBy(*sort_columns(df, order))) + skipped)

@@ -21,6 +21,12 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{shared or tempfile.mkdtemp(prefix='rankloom-')}/rankloom-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> None:
     """Parquet. With `partition_by` rows are gathered by those columns first, so each value gets few files;
     Spark splits a value that holds much of the table among several tasks."""
