@@ -49,12 +49,13 @@ def words_of(text: Column) -> Column:
 
 def runs_of(words: Column, longest: int) -> Column:
     """All runs of one to `longest` words."""
-    runs = words
-    for n in range(2, longest + 1):
+
+    def of(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        more = F.transform(starts, lambda at, n=n: F.array_join(F.slice(words, at, n), " "))
-        runs = F.concat(runs, F.when(F.size(words) >= n, more).otherwise(F.array().cast("array<string>")))
-    return runs
+        found = F.transform(starts, lambda at: F.array_join(F.slice(words, at, n), " "))
+        return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(words, *[of(n) for n in range(2, longest + 1)])
 
 
 def buckets_of(runs: Column, buckets: int) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import byte_bpe, decontaminate, filter_audit, importance, lang_id, permutation_index, pii, quality, repeats, simhash, token_file, url_rules
+from rankloom.llm import byte_bpe, decontaminate, filter_audit, fingerprints, importance, lang_id, permutation_index, pii, quality, repeats, simhash, token_file, url_rules
 from rankloom.llm.common import held_out, read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,10 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.next_edits(read(spark, folder, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(read(spark, folder, "documents"), read(spark, folder, "labels"))
 

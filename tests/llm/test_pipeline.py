@@ -16,7 +16,7 @@ from tests.llm.test_simhash import brute
 def test_entry_lists_all():
     names = set(__spark_entry__.queries())
     assert {"pipeline", *queries.queries()} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert set(queries.SQL) <= set(__spark_entry__.oracle_sql())
 
 
