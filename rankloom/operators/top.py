@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators.counts import counts, totals
-from rankloom.operators.ordering import check_count, rank_order
+from rankloom.operators.ordering import check_count, is_top, rank_order
 
 
 def _first_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -36,21 +36,39 @@ def top_k_with_ties(df: DataFrame, entity: Sequence[str], n: int, measure: str =
     return grouped.where(F.coalesce(F.col("total_popularity") >= nth, nth.isNull()))
 
 
+def _reached(rows: DataFrame, parts: int, best: Column, descending: bool, n: int) -> DataFrame:
+    """One row (best): a value of `best` that N different rows reach; null where there may not be as many.
+
+    Rows are dealt to parts by a hash of the whole row, so copies share a part and the best rows of two parts differ.
+    The N-th best of the parts is therefore a bound, and with several times N parts nearly the tightest one. It takes
+    one aggregate with a row a part and task, in which copies are merged where they are read.
+    """
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
+    first = rows.groupBy(part.alias("_part")).agg(best.alias("best")).where("best IS NOT NULL")
+    first = first.orderBy(F.desc("best") if descending else F.asc("best")).limit(n)
+    return first.agg(F.when(F.count("*") == n, (F.min if descending else F.max)("best")).alias("best"))
+
+
 def top_k_rows(
-    df: DataFrame, n: int, measure: str = "pop", ties: Sequence[str] = (), direction: str = "top", slices: int = 64
+    df: DataFrame, n: int, measure: str = "pop", ties: Sequence[str] = (), direction: str = "top", parts: int = 8
 ) -> DataFrame:
     """Exactly N distinct rows by `measure`. Ties go by the `ties` columns, then by all other columns.
 
-    Removing repeats of whole rows would shuffle the whole table. Instead rows are dealt to slices, whatever they
-    hold, and each slice keeps those of its first N different ones; Spark cuts every input partition in the same way
-    before the shuffle. Only these rows lose their repeats and are ranked. Copies of a row are in all slices.
+    Removing repeats of whole rows would shuffle the whole table. Instead one reading finds a measure that N different
+    rows reach, another one, among the rows of just that measure, their N-th by the other columns (see `_reached`; for
+    N rows there are `parts` times N parts). What reaches both is few more than N rows and their copies, and each task
+    drops the copies before the shuffle: a row that fills half the table is sent once a task.
     """
     others = [name for name in df.columns if name != measure and name not in ties]
-    order = rank_order(measure, [*ties, *others], direction)
-    dealt = df.withColumn("_slice", F.pmod(F.monotonically_increasing_id(), F.lit(slices)))
-    ahead = F.dense_rank().over(Window.partitionBy("_slice").orderBy(*order))
-    candidates = dealt.withColumn("_rank", ahead).where(F.col("_rank") <= check_count(n)).drop("_slice", "_rank").distinct()
-    return _first_n(candidates, order, n)
+    order, top = rank_order(measure, [*ties, *others], direction), is_top(direction)
+    value = _reached(df, parts * check_count(n), (F.max if top else F.min)(measure), top, n).scalar()
+    found, tied = F.col(measure) > value if top else F.col(measure) < value, F.col(measure) == value
+    keys = [key for name in [*ties, *others] for key in (F.col(name).isNull(), F.col(name))]
+    if keys:
+        key = F.struct(*[column.alias(f"_{k}") for k, column in enumerate(keys)])
+        nth = _reached(df.where(tied), parts * n, F.min(key), False, n).scalar()
+        tied = tied & F.coalesce(key <= nth, F.lit(True))
+    return _first_n(df.where(value.isNull() | found | tied).distinct(), order, n)
 
 
 def _first_within(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

@@ -82,18 +82,39 @@ def test_ties_have_no_window_and_share_the_shuffle(songs):
     assert plan.count("FileScan") == 1
 
 
-def test_top_rows_are_cut_before_the_only_shuffle_of_rows(songs):
-    plan = final_plan(top_k_rows(songs.drop("chart_year"), 3))
-    assert plan.count("FileScan") == 1
-    assert re.search(r"WindowGroupLimit .*dense_rank.* Partial", plan)
+def shuffled_rows(df) -> list[int]:
+    """The rows that each shuffle of the plan that ran has written, without those of its subqueries."""
+    df.collect()
+    found, nodes = [], [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        else:
+            if name == "ShuffleExchangeExec":
+                found.append(node.metrics().apply("shuffleRecordsWritten").value())
+            nodes += [node.children().apply(k) for k in range(node.children().size())]
+    return found
 
 
-def test_copies_of_one_row_are_dealt_to_many_tasks(spark):
-    rows = [(1, 9)] * 4000 + [(i, i % 2) for i in range(4000)]
-    df = spark.createDataFrame(rows, "id long, pop int").repartition(8)
-    dealt = df.withColumn("slice", F.pmod(F.monotonically_increasing_id(), F.lit(64))).where("pop = 9")
-    assert dealt.groupBy("slice").count().agg(F.max("count")).first()[0] < 200
-    assert [tuple(r)[:2] for r in top_k_rows(df, 3).orderBy("position").collect()] == [(1, 9), (1, 1), (3, 1)]
+def test_top_rows_are_cut_before_the_only_shuffle_of_rows(songs):
+    top = top_k_rows(songs.drop("chart_year"), 3)
+    plan = final_plan(top)
+    assert "WindowGroupLimit" not in plan and "Join" not in plan and "TakeOrderedAndProject" in plan
+    assert sum(shuffled_rows(top)) <= 4 * 8  # of 200 rows, 20 of which share the best measure
+
+
+@pytest.mark.parametrize("direction", ["top", "bottom"])
+def test_a_row_that_fills_half_the_table_is_sent_once_a_task(spark, tmp_path, direction):
+    hot, n = 9 if direction == "top" else -9, 3
+    rows = [(1, hot)] * 4000 + [(i, i % 2) for i in range(2, 4002)]
+    spark.createDataFrame(rows, "id long, pop int").repartition(8).write.parquet(str(tmp_path / "t"))
+    top = top_k_rows(spark.read.parquet(str(tmp_path / "t")), n, direction=direction)
+    assert [tuple(r)[:2] for r in top.orderBy("position").collect()] == [(1, hot), *([(3, 1), (5, 1)] if hot > 0 else [(2, 0), (4, 0)])]
+    assert sum(shuffled_rows(top)) <= 8 * 2 * n
 
 
 def test_a_share_without_its_columns_still_reads_once(songs):
