@@ -25,8 +25,11 @@ def _place() -> Column:
     return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
 
 
-def write_positions(df: DataFrame, order: Sequence[str], path: str, partitions: int | None = None) -> None:
-    """Write `df`, sorted by `order` (see `sort_table`), with its index below `path`.
+def write_positions(
+    df: DataFrame, order: Sequence[str], path: str, partitions: int | None = None, nulls_first: bool = False
+) -> None:
+    """Write `df`, sorted by `order` (see `sort_table`; `nulls_first` where the order columns have them first), with its
+    index below `path`.
 
     Rows that are equal in all columns are told apart by a running number, so that even a row that fills much of the
     table is cut into several ranges. The rows are written once before they are cut: a task that runs again then
@@ -36,7 +39,7 @@ def write_positions(df: DataFrame, order: Sequence[str], path: str, partitions:
     df.write.parquet(f"{path}/unsorted")
     df = spark.read.parquet(f"{path}/unsorted")
     df.limit(0).write.parquet(f"{path}/columns")
-    keys = [*sort_columns(df, order), F.col(row)]
+    keys = [*sort_columns(df, order, nulls_first), F.col(row)]
     numbered = df.withColumn(row, F.monotonically_increasing_id())
     cut = numbered.repartitionByRange(partitions, *keys) if partitions else numbered.repartitionByRange(*keys)
     placed = cut.sortWithinPartitions(*keys).drop(row).withColumns({PART: F.spark_partition_id(), PLACE: _place()})
@@ -57,11 +60,15 @@ def _index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/index")
 
 
+def placed_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows with their `position`, and the range (`PART`) and the place in it that they were written to."""
+    index = F.broadcast(_index(spark, path).select(PART, "before"))  # one row a partition
+    return _rows(spark, path).join(index, PART).withColumn(POSITION, F.col("before") + F.col(PLACE) + 1).drop("before")
+
+
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
     """All rows of the index with their `position` in the order, from 1; in no order."""
-    index = F.broadcast(_index(spark, path).select(PART, "before"))  # one row a partition
-    found = _rows(spark, path).join(index, PART)
-    return found.withColumn(POSITION, F.col("before") + F.col(PLACE) + 1).drop(PART, PLACE, "before")
+    return placed_rows(spark, path).drop(PART, PLACE)
 
 
 def page_at(spark: SparkSession, path: str, size: int, number: int = 1) -> DataFrame:

@@ -9,9 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def row_text(df: DataFrame, columns: Sequence[str]) -> Column:
+    """All that a search looks at in a row, in lower case."""
+    return F.lower(F.concat_ws(" ", *(F.col(name).cast("string") for name in columns)))
+
+
 def search(df: DataFrame, text: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows in which every space-separated term of `text` occurs somewhere, in any case."""
-    row = F.lower(F.concat_ws(" ", *(F.col(name).cast("string") for name in columns or df.columns)))
+    row = row_text(df, columns or df.columns)
     return reduce(lambda found, term: found.where(row.contains(term)), text.lower().split(), df)
 
 
@@ -20,10 +25,12 @@ def _keys(order: Sequence[str]) -> list[tuple[str, bool]]:
     return [(name[1:], False) if name.startswith("-") else (name, True) for name in order]
 
 
-def sort_columns(df: DataFrame, order: Sequence[str]) -> list[Column]:
+def sort_columns(df: DataFrame, order: Sequence[str], nulls_first: bool = False) -> list[Column]:
     named = _keys(order)
     others = [(name, True) for name in df.columns if name not in dict(named)]
-    return [F.col(name).asc_nulls_last() if up else F.col(name).desc_nulls_last() for name, up in [*named, *others]]
+    first = [F.col(name).asc_nulls_first() if up else F.col(name).desc_nulls_first() for name, up in named if nulls_first]
+    last = [*([] if nulls_first else named), *others]
+    return [*first, *(F.col(name).asc_nulls_last() if up else F.col(name).desc_nulls_last() for name, up in last)]
 
 
 def sort_table(df: DataFrame, *order: str) -> DataFrame:

@@ -31,7 +31,7 @@ from rankloom.operators import (
     totals,
     word_counts,
 )
-from rankloom.plans import part_rules, views
+from rankloom.plans import part_rules, stored, views
 from rankloom.sources import (
     read_chart_csv,
     read_table,
@@ -419,4 +419,4 @@ def queries() -> dict[str, Query]:
         found[f"share_top_{name}"] = _on_songs(
             views.popular_genres_in_group, columns, "Colour", 3, frame, rules=part_rules.PART_RULES
         )
-    return found
+    return found | stored.queries()

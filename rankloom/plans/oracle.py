@@ -4,7 +4,7 @@ shares come from window sums, unique counts from count(DISTINCT), trees from str
 from __future__ import annotations
 
 from rankloom import fixed_values as fixed
-from rankloom.plans import part_rules
+from rankloom.plans import part_rules, stored
 
 COLUMNS = {
     "title": ("part", "p_name"),
@@ -413,4 +413,67 @@ SELECT *, title || ' by ' || artist AS unique_title, {_caption("song")} AS text
         found[f"{share}genres_by_chart_and_release_year"] = _share(
             both, "chart_year", "genre, year_released", 3, d, "genre", 15, "genre_chart_year_by_release_year"
         )
-    return found
+    return found | _stored()
+
+
+def _tree_lines() -> str:
+    """Each genre's line from the names before and after it."""
+    opened = lambda name: f"'{{\"name\":' || to_json({name}) || ',\"children\":['"
+    return f"""
+WITH t AS (SELECT *, row_number() OVER w AS position, lag(genre_group) OVER w AS bg, lag(sub_group) OVER w AS bs,
+                  lead(genre_group) OVER w AS ag, lead(sub_group) OVER w AS sa
+           FROM ({_genre_table()}) WINDOW w AS (ORDER BY genre_group, sub_group, genre))
+SELECT position, CASE WHEN bg IS NULL THEN '' ELSE ',' END
+       || CASE WHEN bg IS DISTINCT FROM genre_group THEN {opened("genre_group")} ELSE '' END
+       || CASE WHEN bg IS DISTINCT FROM genre_group OR bs <> sub_group THEN {opened("sub_group")} ELSE '' END
+       || '{{"name":' || to_json(genre) || ',"size":' || count || '}}'
+       || CASE WHEN ag IS DISTINCT FROM genre_group OR sa <> sub_group THEN ']}}' ELSE '' END
+       || CASE WHEN ag IS DISTINCT FROM genre_group THEN ']}}' ELSE '' END AS line FROM t
+UNION ALL SELECT 0, {opened("'Genres'")}
+UNION ALL SELECT 9223372036854775807, ']}}'"""
+
+
+def _stored() -> dict[str, str]:
+    shares = []
+    for question, (period, entity) in stored.QUESTIONS.items():
+        found = _share(f"{period} {entity[0]} pop", period, entity[0], 3, label=entity[0])
+        shares.append(
+            f"SELECT {_text(question)} AS question, {period} AS period, {entity[0]} AS entity, total_popularity, prop, rn "
+            f"FROM ({found})"
+        )
+    chart_columns = [name for _, name, _ in fixed.CHART_COLUMNS]
+    mixed = ", ".join("CASE WHEN year_released >= 1998 THEN db END AS db" if name == "db" else name for name in chart_columns)
+    return {
+        "table_page_far": f"""
+SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS position
+FROM lineitem QUALIFY position BETWEEN 4991 AND 5000""",
+        "table_positions": """
+SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_mktsegment, c_custkey DESC) AS position FROM customer""",
+        "table_search_indexed": """
+SELECT p_partkey, p_name, p_brand, p_type
+FROM (SELECT *, lower(p_partkey || ' ' || p_name || ' ' || p_brand || ' ' || p_type) AS s FROM part)
+WHERE contains(s, 'ring') AND contains(s, 'brand#1') AND contains(s, 'eco')""",
+        "document_search_indexed": """
+SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'caci') AND contains(lower(text), 'tion')""",
+        "parts_by_rule_table": f"""
+SELECT p_partkey, p_name AS genre, {_group(part_rules.PART_RULES, "p_name")} AS genre_group FROM part""",
+        "documents_by_item_rules": """
+WITH r AS (SELECT item_id, lower(string_split(text, ' ')[-1]) AS word FROM benchmark),
+f AS (SELECT doc_id, min(item_id) AS item_id FROM documents JOIN r ON contains(lower(text), word) GROUP BY doc_id)
+SELECT doc_id, coalesce('item ' || item_id, 'none') AS item FROM documents LEFT JOIN f USING (doc_id)""",
+        "artists_in_span": f"""
+SELECT artist_type, count(DISTINCT artist) AS count FROM {_songs("year_released artist_type artist")}
+WHERE year_released BETWEEN 1996 AND 1998 GROUP BY artist_type""",
+        "artists_in_any_year": f"SELECT count(DISTINCT artist) AS count FROM {_songs('artist')}",
+        "songs_kept_up": f"""
+SELECT year_released, artist_type, count(*) AS count, CAST(sum(pop) AS BIGINT) AS total_popularity
+FROM {_songs("year_released artist_type pop")} GROUP BY ALL""",
+        "genre_tree_lines": _tree_lines(),
+        "stacked_lines": """
+WITH s AS (SELECT l_linenumber, l_orderkey, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem),
+c AS (SELECT *, CAST(sum(quantity) OVER (PARTITION BY l_linenumber ORDER BY l_orderkey, quantity
+                     ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seg_end FROM s)
+SELECT l_linenumber, l_orderkey, quantity, seg_end - quantity AS seg_start, seg_end - quantity / 2 AS seg_mid FROM c""",
+        "six_shares": " UNION ALL ".join(shares),
+        "csv_mixed_scan": f"SELECT {mixed} FROM {_songs(' '.join(chart_columns))}",
+    }
