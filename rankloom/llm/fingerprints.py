@@ -35,6 +35,8 @@ WIDTH = 24
 SCALE = 16
 #: Bytes that are hashed at once; a longer text is cut into such pieces, which overlap by a shingle.
 PIECE = SLICE_BYTES
+#: Bytes of text in a range of documents, on average.
+RANGE_BYTES = 16 << 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -161,10 +163,10 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _edges(rows: DataFrame) -> list[tuple]:
-    """The first (null, key, tie) of each range that Spark cuts the rows into, a few bytes a partition."""
+def _edges(rows: DataFrame, ranges: int) -> list[tuple]:
+    """The first (null, key, tie) of each range that Spark cuts the rows into, a few bytes a range."""
     order = ["nothing", "key", "tie"]
-    cut = rows.select(*order).repartitionByRange(*order).withColumn("range", F.spark_partition_id())
+    cut = rows.select(*order).repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id())
     first = cut.groupBy("range").agg(F.min(F.struct(*order)).alias("first")).select("first.*")
     return [_order(*r) for r in sorted(first.collect(), key=lambda r: _order(*r))]
 
@@ -177,12 +179,14 @@ def next_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", scale:
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each document, its
     edited text and the next document by key, the first after the last.
 
-    Documents are dealt to ranges of the order, and the first of each range is dealt to the range before it as well,
-    behind the others. So each range is answered by itself, in one reading. The ranges come from the keys alone.
+    Documents are dealt to ranges of the order, as many as their bytes ask for, and the first of each range is dealt to the range before it as well,
+    behind the others. So each range is answered by itself, in one reading.
     """
     whole = F.coalesce(docs[text], F.lit(""))
     rows = docs.select(docs[key].isNull().alias("nothing"), docs[key].alias("key"), F.xxhash64(whole).alias("tie"), whole.alias("text"))
-    edges = rows.sparkSession.sparkContext.broadcast(_edges(rows))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 + size // RANGE_BYTES
+    edges = rows.sparkSession.sparkContext.broadcast(_edges(rows, parts))
 
     @F.arrow_udf("array<struct<range:int,behind:boolean>>")
     def ranges(nothing: pa.Array, key: pa.Array, tie: pa.Array) -> pa.Array:
@@ -194,7 +198,7 @@ def next_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", scale:
         return pa.array(found, pa.list_(pa.struct([("range", pa.int32()), ("behind", pa.bool_())])))
 
     dealt = rows.withColumn("ranges", ranges("nothing", "key", "tie")).select("*", F.inline("ranges")).drop("ranges")
-    dealt = dealt.repartition("range").sortWithinPartitions("range", "behind", "nothing", "key", "tie")
+    dealt = dealt.repartition(parts, "range").sortWithinPartitions("range", "behind", "nothing", "key", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept()

@@ -49,7 +49,9 @@ def answers(data):
     return sorted(out, key=repr)
 
 
-def test_query_against_brute_force(spark):
+@pytest.mark.parametrize("size", [fingerprints.RANGE_BYTES, 9000])
+def test_query_against_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", size)
     docs = documents().head(60)
     got = fingerprints.next_edits(spark.createDataFrame(docs[["doc_id", "text"]]).repartition(5))
     assert rows(got) == answers(list(docs[["doc_id", "text"]].itertuples(index=False, name=None)))
@@ -100,9 +102,10 @@ def test_containment_of_very_unequal_texts(spark):
     assert found[3] == found[2] == 1 and found[1] > 0.9 and found[4] == fingerprints.likeness(by[4], by[3])
 
 
-@pytest.mark.parametrize("partitions", [1, 3])
-def test_odd_rows(spark, partitions):
-    docs = clashing(odd_docs(spark)).repartition(partitions)
+@pytest.mark.parametrize("size", [fingerprints.RANGE_BYTES, 3000])
+def test_odd_rows(spark, monkeypatch, size):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", size)
+    docs = clashing(odd_docs(spark)).repartition(3)
     got = rows(fingerprints.next_edits(docs.filter("doc_id is not null")))
     assert got == answers([r[:2] for r in odd_rows() if r[0] is not None])
     both = fingerprints.next_edits(docs).collect()
