@@ -1,7 +1,10 @@
 """Byte-level BPE: text to token ids and back, by the tokenizers library over Arrow batches.
 
 Texts are cut by a pattern, each match is mapped from bytes to printable characters (one character for each of the
-256 byte values) and merged by a `tokenizers` BPE model whose merges come from the rank file. Decoding reverses the
+256 byte values) and merged by a `tokenizers` BPE model whose merges come from the rank file. A rank file says which
+tokens two parts may become, not which two parts: where two places overlap that would become the same token, the
+leftmost goes first, which a list of merges cannot say. That takes a stretch in which something stands twice and begins
+a third time, as in "banana"; such matches, and long ones, are merged from the same table with that rule. Decoding reverses the
 byte table. Defined results: a null text counts as empty and has no ids; ids are packed as little-endian unsigned
 32-bit integers in a binary column; an empty table gives an empty one; every row is answered by itself, so repeated
 rows, repeated or null keys and extra columns do not matter.
@@ -11,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import heapq
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,7 +24,6 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from tokenizers.models import BPE
 
@@ -29,6 +32,9 @@ from rankloom.llm.pieces import Pieces, ends_of_rows, ids_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 BESIDE_A_BLANK = r"^\s|\s$|\s | \s"
+#: Something that stands twice and begins a third time; looked for in matches of at most SHORT bytes.
+OVERLAP = regex.compile(r"(?s)(.)(.*)\1\2\1")
+SHORT = 32
 
 
 def byte_characters() -> list[str]:
@@ -70,31 +76,61 @@ class ByteBpe:
             pairs = [(self.ranks[a], self.ranks[b], a, b) for a, b in cuts if a in self.ranks and b in self.ranks]
             merges += [(names[a], names[b]) for _, _, a, b in sorted(pairs)]
         self.model = BPE(vocab={names[t]: r for t, r in self.ranks.items()}, merges=merges)
-        self.exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        self.whole = Pieces(lambda mapped: packed([token.id for token in self.model.tokenize(mapped)]), 150_000)
+        self.whole = Pieces(self._merged, 150_000)
         self.later = Pieces(self._later, 350_000)
-        self.odd = Pieces(lambda piece: self._checked(" " + piece), 10_000)
-        self.first = Pieces(self._checked, 10_000)
+        self.odd = Pieces(lambda piece: self.ids(" " + piece), 10_000)
+        self.first = Pieces(self.ids, 10_000)
 
     def ids(self, text: str) -> bytes:
-        """Packed ids by the BPE model, pattern match by pattern match."""
+        """Packed ids, pattern match by pattern match."""
         found = b""
         one = text[1:].isalpha() and (text[0] == " " or text[0].isalpha())
         for match in [text] if one else self.pattern.findall(text):
-            mapped = match.encode().decode("latin-1").translate(self.table)
-            found += self.whole[mapped]
+            found += self.whole[match]
         return found
 
-    def _checked(self, text: str) -> bytes:
-        """The ids, held against the rank library once per piece: where two merges of one rank overlap, it takes
-        the leftmost, which a merge list cannot say; then its answer counts."""
-        found, exact = self.ids(text), packed(self.exact.encode_ordinary(text))
-        return found if found == exact else exact
+    def _merged(self, match: str) -> bytes:
+        """The ids of one match, by the BPE model unless places of one token may overlap."""
+        raw = match.encode()
+        mapped = raw.decode("latin-1").translate(self.table)
+        if len(raw) > SHORT or OVERLAP.search(mapped):
+            return packed(self.leftmost(raw))
+        return packed([token.id for token in self.model.tokenize(mapped)])
+
+    def leftmost(self, raw: bytes) -> list[int]:
+        """Merges two neighbours at a time, those of the least rank, of equal ones the leftmost."""
+        stop = list(range(1, len(raw) + 1))  # where the part that starts at a place ends; 0: none starts there
+        before = list(range(-1, len(raw)))  # where the part before one starts
+        heap: list[tuple[int, int, int]] = []
+
+        def offer(start: int) -> None:
+            if start >= 0 and stop[start] < len(raw):
+                end = stop[stop[start]]
+                rank = self.ranks.get(raw[start:end])
+                if rank is not None:
+                    heapq.heappush(heap, (rank, start, end))
+
+        for start in range(len(raw)):
+            offer(start)
+        while heap:
+            _, start, end = heapq.heappop(heap)
+            middle = stop[start]
+            if not middle or middle >= end or stop[middle] != end:
+                continue  # a part of it has been merged since
+            stop[start], stop[middle] = end, 0
+            before[end] = start
+            offer(before[start])
+            offer(start)
+        found, at = [], 0
+        while at < len(raw):
+            found.append(self.ranks[raw[at : stop[at]]])
+            at = stop[at]
+        return found
 
     def _later(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise ValueError("white space beside a blank")
-        return self._checked(" " + piece)
+        return self.ids(" " + piece)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's ids end. A blank between two non-blanks always begins a match,

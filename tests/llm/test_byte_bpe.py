@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -65,3 +66,20 @@ def test_overlapping_merges_of_one_rank(library):
         for unit in ("a", "ab", "aab", "-", "=-", "é"):
             text = unit * n
             assert bpe.encode(pa.array([text]))[0].tolist() == library.encode_ordinary(text)
+
+
+def test_the_model_decides_every_other_match(library):
+    """No check by the library stands behind the ids: matches of the documents and joined tokens, model or leftmost rule."""
+    bpe = byte_bpe.vocabulary(PATH, public_tokenizers.PATTERN)
+    assert "tiktoken" not in vars(byte_bpe)
+    rng = random.Random(6)
+    tokens = [t.decode() for t in bpe.tokens if len(t) > 1 and t.decode("utf-8", "ignore").encode() == t]
+    texts = [*documents().text.head(40), *("".join(rng.choices(tokens, k=rng.randrange(1, 4))) for _ in range(8000))]
+    texts += ["".join(rng.choices("abeinrst éß-=", k=rng.randrange(2, 40))) for _ in range(8000)]
+    matches = {m for t in texts for m in bpe.pattern.findall(t)}
+    plain = [m for m in matches if not byte_bpe.OVERLAP.search(m) and len(m.encode()) <= byte_bpe.SHORT]
+    assert len(plain) > 10_000 and len(matches) - len(plain) > 500
+    for m in matches:
+        want = library.encode_ordinary(m)
+        assert np.frombuffer(bpe.whole[m], "<u4").tolist() == want == bpe.leftmost(m.encode())
+    assert byte_bpe.OVERLAP.search("banana") and not byte_bpe.OVERLAP.search("papaw")
