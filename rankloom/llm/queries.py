@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import byte_bpe, decontaminate, filter_audit, fingerprints, importance, lang_id, permutation_index, pii, quality, repeats, simhash, token_file, url_rules
-from rankloom.llm.common import held_out, read, shared_folder
+from rankloom.llm.common import held_out, place, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,9 +46,9 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_token_file(spark: SparkSession, folder: str) -> DataFrame:
-    place = f"{shared_folder(spark)}/rankloom-{uuid.uuid4().hex}/ids"
-    token_file.write(read(spark, folder, "documents"), place)
-    return token_file.read(spark, place).select(
+    path = place(spark, "ids")
+    token_file.write(read(spark, folder, "documents"), path)
+    return token_file.read(spark, path).select(
         "doc_id",
         "start",
         F.expr("octet_length(ids) div 4").alias("n_tokens"),

@@ -3,9 +3,11 @@
 write: texts are range-partitioned by key and tokenised in that order; ids are counted over all documents into one
 frequency table; each partition is cut into blocks of whole documents, and each block is one rANS stream with its own
 checkpoints and checksums. A block also names its documents, the number of ids of each, and how many ids stand before
-each in the whole file. read: every block is decoded by itself, wherever it is.
+each in the whole file. Blocks are written in that order: a file for each partition, the files by name and the blocks in
+each by place. read: every block is decoded by itself, wherever it is.
 
-The folder holds `table` (id, slots: the shared frequencies) and `blocks` (part, block, keys, starts, sizes, payload).
+The folder holds `table` (id, slots: the shared frequencies) and `blocks` (first, keys, starts, sizes, payload); first
+is the number of ids before the block.
 It is written by Spark's committers, so a lost executor's block is written again or not at all.
 
 Defined results: a null text counts as empty and holds the end id only; null keys come first; repeated keys follow
@@ -94,7 +96,7 @@ def write(
         slots, starts = shared.value
         table = rans.Table.of_counts(slots)
         rows: list[tuple] = []
-        held, block = 0, 0
+        held = 0
 
         def flush() -> pa.RecordBatch:
             ids = [np.frombuffer(r[2], dtype) for r in rows]
@@ -102,13 +104,13 @@ def write(
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([rows[0][3]], pa.int32()),
-                    pa.array([block], pa.int32()),
+                    pa.array([rows[0][1]], pa.int64()),
                     pa.array([[r[0] for r in rows]], pa.list_(kind_of_key)),
                     pa.array([[r[1] for r in rows]], pa.list_(pa.int64())),
                     pa.array([[len(x) for x in ids]], pa.list_(pa.int32())),
                     pa.array([payload], pa.binary()),
                 ],
-                ["part", "block", "keys", "starts", "sizes", "payload"],
+                ["part", "first", "keys", "starts", "sizes", "payload"],
             )
 
         for part in batches:
@@ -117,15 +119,17 @@ def write(
             for number, k, before, ids in zip(*columns, strict=True):
                 if rows and (held >= block_ids or rows[0][3] != number):
                     yield flush()
-                    rows, held, block = [], 0, block + 1
+                    rows, held = [], 0
                 rows.append((k, starts[number] + before, ids, number))
                 held += len(ids) // width
         if rows:
             yield flush()
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"part int, block int, keys array<{kind}>, starts array<bigint>, sizes array<int>, payload binary"
-    mapped(tokens, run, schema).write.option("compression", "none").parquet(f"{folder}/blocks")
+    schema = f"part int, first bigint, keys array<{kind}>, starts array<bigint>, sizes array<int>, payload binary"
+    # tasks take the token files as it suits them, so blocks are dealt to one task a part, which writes one file
+    dealt = mapped(tokens, run, schema).repartitionById(1 + max(starts, default=0), F.col("part")).sortWithinPartitions("first")
+    dealt.drop("part").write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 @lru_cache(maxsize=2)

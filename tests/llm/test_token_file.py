@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import pathlib
 import uuid
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,6 +52,24 @@ def test_odd_rows_round_trip(spark, tmp_path):
     assert known == sorted(known) and [r.doc_id for r in ordered[:2]] == [None, None]
 
 
+def test_blocks_stand_in_order(spark, tmp_path):
+    """The files by name, and the blocks in each by place, hold ascending keys and starts without gaps."""
+    folder = f"{tmp_path}/{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").repartition(9, "source")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_file.write(docs, folder, block_ids=3000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(pathlib.Path(folder, "blocks").glob("part-*.parquet"))
+    blocks = [b for f in files for b in pq.read_table(f).to_pylist()]
+    assert len(files) > 2 and len(blocks) > len(files)
+    starts, keys = ([x for b in blocks for x in b[c]] for c in ("starts", "keys"))
+    sizes = [x for b in blocks for x in b["sizes"]]
+    assert starts == [0, *np.cumsum(sizes)[:-1]] and [b["first"] for b in blocks] == [b["starts"][0] for b in blocks]
+    assert keys == sorted(documents().doc_id)
+
+
 def test_empty_table(spark, tmp_path):
     folder = f"{tmp_path}/{uuid.uuid4().hex}"
     token_file.write(empty(spark.createDataFrame([], DOCS)), folder)
