@@ -3,7 +3,7 @@
 A rule (host, path) fits its host and all subdomains if the url's path starts with the rule's path; the longest wins.
 Every host suffix of a url, its labels reversed, and its path make one canonical key; a rule's key is a prefix of
 exactly the keys that it fits, so it is the interval from that key to the key followed by byte FF, which no text
-holds. Intervals of rules nest. Keys and interval bounds are sorted together in range partitions and swept once: each
+holds. Intervals of rules nest. Distinct keys and interval bounds are sorted together in range partitions and swept once: each
 bound carries the rule that is on top of the stack after it, and a url's key takes the last bound before it. What a
 partition starts with comes from the last bound of those before it, one row a partition.
 
@@ -83,10 +83,11 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     places = parsed.select("host", "path").distinct()
     depth = F.explode(F.sequence(F.lit(1), F.least(F.size(_labels(F.col("host"))), F.lit(deepest))))
     keys = places.select("host", "path", depth.alias("depth"))
-    keys = keys.select(
-        "host", "path", _key(F.slice(_labels(F.col("host")), F.lit(1), F.col("depth")), F.col("path")).alias("key"), F.lit(1).alias("kind")
-    )
-    best = sweep(keys, _bounds(rules)).groupBy("host", "path").agg(F.max("top.rule").alias("best"))
+    keys = keys.select("host", "path", _key(F.slice(_labels(F.col("host")), F.lit(1), F.col("depth")), F.col("path")).alias("key"))
+    # a key that many hosts share, as com//index.html, is swept once; what it finds meets them in a join Spark can split
+    swept = sweep(keys.select("key", F.lit(1).alias("kind")).distinct(), _bounds(rules))
+    swept = swept.select("key", "top.rule").filter("rule IS NOT NULL")
+    best = stored(keys.join(swept, "key").groupBy("host", "path").agg(F.max("rule").alias("best")), "best")
     found = parsed.join(best, ["host", "path"], "left")
     return found.select(
         F.col("page").alias(key),

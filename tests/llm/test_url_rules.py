@@ -54,3 +54,20 @@ def test_empty_tables(spark):
 def test_native_plan(spark):
     plan = queries.op1_url_rules(spark, SMALL)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
+def test_a_key_that_many_hosts_share_is_swept_once(spark, monkeypatch):
+    pages = spark.range(5000).selectExpr("id AS page_id", "concat('http://h', id, '.com/index.html') AS url").repartition(4)
+    swept = []
+    plain = url_rules.stored
+    monkeypatch.setattr(url_rules, "stored", lambda df, label, *a: swept.append((label, plain(df, label, *a))) or swept[-1][1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = url_rules.judge(pages, spark.createDataFrame(queries.URL_RULES, RULES))
+        assert got.filter("rule = 'com/'").count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    table = dict(swept)["sweep"]
+    assert table.filter("kind = 1").count() == 5001  # one for com, one for each host
+    sizes = sorted(r["count"] for r in table.groupBy("part").count().collect())
+    assert len(sizes) == 4 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
