@@ -198,7 +198,7 @@ def next_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", scale:
         return pa.array(found, pa.list_(pa.struct([("range", pa.int32()), ("behind", pa.bool_())])))
 
     dealt = rows.withColumn("ranges", ranges("nothing", "key", "tie")).select("*", F.inline("ranges")).drop("ranges")
-    dealt = dealt.repartition(parts, "range").sortWithinPartitions("range", "behind", "nothing", "key", "tie")
+    dealt = dealt.repartitionById(parts, F.col("range")).sortWithinPartitions("range", "behind", "nothing", "key", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept()
