@@ -465,6 +465,12 @@ SELECT doc_id, coalesce('item ' || item_id, 'none') AS item FROM documents LEFT
 SELECT artist_type, count(DISTINCT artist) AS count FROM {_songs("year_released artist_type artist")}
 WHERE year_released BETWEEN 1996 AND 1998 GROUP BY artist_type""",
         "artists_in_any_year": f"SELECT count(DISTINCT artist) AS count FROM {_songs('artist')}",
+        "artists_kept_up": f"""
+SELECT artist_type, count(DISTINCT artist) AS count FROM {_songs("artist_type artist")} GROUP BY artist_type""",
+        "title_words_in_order": f"""
+SELECT *, row_number() OVER (ORDER BY freq DESC, word) AS position FROM ({_words(_songs("title"), "title", True)})""",
+        "genre_table_in_order": f"""
+SELECT *, row_number() OVER (ORDER BY genre_group, sub_group, genre) AS position FROM ({_genre_table()})""",
         "songs_kept_up": f"""
 SELECT year_released, artist_type, count(*) AS count, CAST(sum(pop) AS BIGINT) AS total_popularity
 FROM {_songs("year_released artist_type pop")} GROUP BY ALL""",

@@ -28,7 +28,7 @@ from rankloom.operators import (
     write_search_index,
     write_tree,
 )
-from rankloom.plans import part_rules
+from rankloom.plans import part_rules, views
 from rankloom.sources import read_mixed_csv, read_table, scratch_folder, songs_from_orders, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +109,32 @@ def artists_in_any_year(spark: SparkSession, folder: str) -> DataFrame:
     return distinct_in(spark, _artist_bitmaps(spark, folder))
 
 
+def artists_kept_up(spark: SparkSession, folder: str) -> DataFrame:
+    """Unique artists of each type over all years, the later years as a batch that was added."""
+    songs = songs_from_orders(spark, folder, "year_released", "artist_type", "artist")
+    path, by = scratch_folder(spark), ["year_released", "artist_type"]
+    few = songs.where("year_released < 1998 AND artist < 'Supplier#000000060'")
+    write_bitmaps(few, by, "artist", path)
+    write_bitmaps(songs.exceptAll(few), by, "artist", path, batch=1)
+    return distinct_in(spark, path, "artist_type")
+
+
+def title_words_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """All words of the titles with their place in the order of the word table."""
+    path = scratch_folder(spark)
+    write_positions(views.title_words(songs_from_orders(spark, folder, "title")), ["-freq", "word"], path)
+    return read_positions(spark, path)
+
+
+def genre_table_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole genre table with each row's place."""
+    path = scratch_folder(spark)
+    songs = songs_from_orders(spark, folder, "genre")
+    table = hierarchy(songs, part_rules.PART_RULES, part_rules.PART_LISTS, part_rules.PART_DEFAULTS)
+    write_positions(table, ["genre_group", "sub_group", "genre"], path)
+    return read_positions(spark, path)
+
+
 def songs_kept_up(spark: SparkSession, folder: str) -> DataFrame:
     """Songs and popularity per release year and type, the later years as a batch that was added."""
     songs = songs_from_orders(spark, folder, "year_released", "artist_type", "pop")
@@ -166,7 +192,7 @@ def csv_mixed_scan(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     names = [
         table_page_far, table_positions, table_search_indexed, document_search_indexed, parts_by_rule_table,
-        documents_by_item_rules, artists_in_span, artists_in_any_year, songs_kept_up, genre_tree_lines, stacked_lines,
-        six_shares, csv_mixed_scan,
+        documents_by_item_rules, artists_in_span, artists_in_any_year, artists_kept_up, title_words_in_order,
+        genre_table_in_order, songs_kept_up, genre_tree_lines, stacked_lines, six_shares, csv_mixed_scan,
     ]
     return {query.__name__: query for query in names}

@@ -21,6 +21,12 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{shared or tempfile.mkdtemp(prefix='rankloom-')}/rankloom-{uuid.uuid4().hex}"
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether anything has been written to a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove an intermediate table that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

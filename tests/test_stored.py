@@ -177,6 +177,22 @@ def test_more_entities_than_a_bitmap_holds(spark, path):
     assert _rows(distinct_in(spark, path, "year")) == _rows(songs.groupBy("year").agg(F.count_distinct("artist")))
 
 
+def test_batches_of_bitmaps_add_up(spark, path):
+    rng = random.Random(9)
+    data = [(2000 + rng.randrange(6), str(int(rng.triangular(0, 400, 0)))) for _ in range(2000)]
+    songs = spark.createDataFrame(data, "year int, artist string")
+    for batch, rows in enumerate(("year < 2003", "year = 2003", "year > 2003")):
+        write_bitmaps(songs.where(rows), ["year"], "artist", path, batch)
+    write_bitmaps(songs.where("year > 2003"), ["year"], "artist", path, 2)  # the last one again
+    for first, last in ((2000, 2005), (2002, 2004)):
+        found = distinct_in(spark, path, where=F.col("year").between(first, last)).first()["count"]
+        assert found == len({a for y, a in data if first <= y <= last})
+    numbers = [r[0] for r in spark.read.parquet(f"{path}/numbers").select("_number").collect()]
+    assert sorted(numbers) == list(range(1, len({a for _, a in data}) + 1))
+    with pytest.raises(ValueError):
+        write_bitmaps(songs, ["year"], "artist", path, 1)
+
+
 # ---- trees in parts ----
 
 
