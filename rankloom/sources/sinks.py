@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names.
+    """A new path in the shared folder that spark.checkpoint.dir names; it goes when the session ends.
 
     Where none is named, a local session gets a temporary folder. On a cluster that would be another folder on every
     machine, so it is refused.
@@ -18,7 +18,12 @@ def scratch_folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.conf.get("spark.master", "").startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='rankloom-')}/rankloom-{uuid.uuid4().hex}"
+    own = f"{shared or tempfile.mkdtemp(prefix='rankloom-')}/rankloom-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return f"{own}/table"
 
 
 def there(spark: SparkSession, path: str) -> bool:
