@@ -206,19 +206,20 @@ def merge(intervals: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, shard_hulls: int = SHARD_HULLS) -> DataFrame:
     """(key, mark, start, stop): stretches of repeated strings, by document; they may overlap. docs: key, mark, text."""
     found = stored(cores(docs, length, window), "cores", "zstd")
-    common = found.groupBy("core").count().filter("count > 1").select("core")
+    # sums by core are written before they are joined: Spark splits a core that much of the corpus shares only then
+    common = stored(found.groupBy("core").count().filter("count > 1").select("core"), "shared-cores")
     found = stored(found.join(common, "core", "left_semi"), "common", "zstd")
     one = F.min(F.struct("mark", "first", "stop")).alias("one")
-    hulls = found.groupBy("core", "hull").agg(F.count("*").alias("n"), one)
+    hulls = stored(found.groupBy("core", "hull").agg(F.count("*").alias("n"), one), "hulls", "zstd")
     shared = hulls.groupBy("core").agg(F.count("*").alias("hulls"), F.sum((F.col("n") == 1).cast("long")).alias("open"))
-    hulls = stored(hulls.join(shared, "core"), "hulls", "zstd")
+    shared = stored(shared.filter("hulls > 1 and open > 0"), "open-cores")
     # whole hulls that stand twice
     twice = hulls.filter("n > 1").select("core", "hull")
     whole = found.join(twice, ["core", "hull"], "left_semi").select("key", "mark", F.col("first").alias("start"), "stop")
     # distinct hulls that share a core, of which one at least stands once
     shards = F.ceil(F.col("hulls") / shard_hulls)
     shard = F.when(shards == 1, ALONE).otherwise(F.pmod(F.xxhash64("hull"), shards)).cast("int")
-    wanted = hulls.filter("hulls > 1 and open > 0").select("one.*", "core", shard.alias("shard"), (F.col("n") == 1).alias("open"))
+    wanted = hulls.join(shared, "core").select("one.*", "core", shard.alias("shard"), (F.col("n") == 1).alias("open"))
     intervals = stored(shard_intervals(_cut(docs, wanted), length), "intervals", "zstd")
     edges = merge(intervals).select("key", "mark", "start", (F.col("start") + length).alias("stop"))
     return whole.union(edges)
