@@ -1,4 +1,5 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components of a table of links, by alternating large and small stars. No links give no components; links
+that repeat, in either direction, count once."""
 
 from __future__ import annotations
 

@@ -11,7 +11,8 @@ learnable labelled texts.
 Prediction reads every whole text.
 
 Defined results: a null text, an empty one or one without a letter is `und`, score 0, rejected; without any labelled
-text every text is `und`; rows are answered one by one, so repeated rows, null keys and extra columns do not matter;
+text every text is `und`; of equally near centroids the first counts, in the order of their languages' names; a very
+long text is a slice of its own and is counted whole; rows are answered one by one, so repeated rows, null keys and extra columns do not matter;
 an empty table gives an empty one.
 """
 

@@ -1,7 +1,7 @@
 """Token ids of many texts by way of their distinct pieces: each piece is tokenised once per worker, then looked up.
 
 A piece is a stretch of text that a tokenizer never joins with its neighbours, so the ids of a text are those of its
-pieces in order. The memory of pieces is bounded and only saves work: it changes no result.
+pieces in order. The memory of pieces is bounded and only saves work: it changes no result. No pieces give no ids.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ is paired with the least one only, which keeps components and never makes all pa
 
 Defined results: a null or wordless text has fingerprint zero, which is linked like any other; repeated rows share a
 fingerprint; a null key stays in the result and is never a component id, unless a component has no other (then null);
-an empty table gives an empty one; other columns are ignored.
+a very long text is hashed whole, as a slice of its own; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations

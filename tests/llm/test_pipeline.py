@@ -9,7 +9,7 @@ import __spark_entry__
 import corpus_pipeline
 from rankloom.llm import byte_bpe, decontaminate, lang_id, queries
 from rankloom.llm.common import stored
-from tests.llm.helpers import DOCS, SMALL, documents, empty, odd_docs, rows
+from tests.llm.helpers import DOCS, SMALL, clashing, documents, empty, odd_docs, rows
 from tests.llm.test_pii import base
 from tests.llm.test_simhash import brute
 
@@ -72,6 +72,16 @@ def test_empty_table(spark):
     assert rows(docs) == []
 
 
+def test_odd_rows_and_clashing_columns_go_through_all_stages(spark):
+    docs = clashing(spark.read.parquet(f"{SMALL}/documents.parquet").filter("doc_id > 20").limit(80).unionByName(odd_docs(spark)))
+    for name, stage in corpus_pipeline.STAGES:
+        columns, docs = docs.columns, stored(stage(spark, docs, SMALL), name)
+        assert name == "tokens" or docs.columns == columns
+    left = [r for r in docs.collect() if r.doc_id == 7 or r.doc_id == 5]
+    assert sorted(r.doc_id for r in left) == [5, 7]  # a text of 6000 words, and one of its copies
+    assert all(len(r.ids) == 4 * r.n_tokens and r.text for r in left)
+
+
 def test_learning_leaves_nothing_out(spark):
     """The language stage keeps every clean document of the test tables."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
