@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import (
     apply_corrections,
+    classify_by_rules,
     histogram,
     ranked_share,
     sort_table,
@@ -136,10 +137,11 @@ def test_trees_read_once(songs):
     assert plan.count("FileScan") == 1
 
 
-def test_hot_titles_are_split(spark, tmp_path):
+@pytest.fixture
+def hot_titles(spark, tmp_path):
+    """Half of the rows have one title, under settings in which small tables are joined as large ones."""
     rows = spark.range(400_000).selectExpr("if(id % 2 = 0, 'hot', concat('t', id % 5000)) as title", "2000 + cast(id % 9 as int) as year_released")
     rows.write.parquet(f"{tmp_path}/songs")
-    spark.range(5000).selectExpr("concat('t', id) as title", "1990 as year_released").write.parquet(f"{tmp_path}/fixes")
     small = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -150,12 +152,24 @@ def test_hot_titles_are_split(spark, tmp_path):
     before = {key: spark.conf.get(key, None) for key in small}
     for key, value in small.items():
         spark.conf.set(key, value)
-    try:
-        songs, fixes = spark.read.parquet(f"{tmp_path}/songs"), spark.read.parquet(f"{tmp_path}/fixes")
-        assert "skew=true" in final_plan(apply_corrections(songs, fixes))
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    yield spark.read.parquet(f"{tmp_path}/songs")
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_hot_titles_are_split(spark, tmp_path, hot_titles):
+    spark.range(5000).selectExpr("concat('t', id) as title", "1990 as year_released").write.parquet(f"{tmp_path}/fixes")
+    assert "skew=true" in final_plan(apply_corrections(hot_titles, spark.read.parquet(f"{tmp_path}/fixes")))
+
+
+def test_hot_values_are_classified_in_several_tasks(spark, hot_titles):
+    rules = spark.createDataFrame([(1, "t99", "many"), (2, "ot", "hot")], "priority int, text string, label string")
+    found = classify_by_rules(hot_titles, "title", rules, "none").select("year_released", "label")
+    plan = final_plan(found)
+    # the join that the rows go through is the topmost one
+    top = re.search(r"SortMergeJoin[^\n]*", plan[plan.index("== Final Plan =="):])
+    assert "skew=true" in top[0] and "LeftOuter" in top[0]
+    assert {r.label for r in found.distinct().collect()} == {"many", "hot", "none"}
 
 
 def test_filters_reach_the_scan(songs):
