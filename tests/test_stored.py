@@ -51,16 +51,15 @@ def path(tmp_path):
 
 
 def test_a_page_far_away_reads_one_or_two_ranges(spark, path):
-    table = spark.range(1_000_000).select((F.col("id") * 7919 % 1_000_003).alias("score"), F.col("id"))
+    table = spark.range(200_000).select((F.col("id") * 7919 % 200_003).alias("score"), F.col("id"))
     write_positions(table, ["-score", "id"], path, partitions=16)
-    page = page_at(spark, path, 10, 100_000)
+    page = page_at(spark, path, 2, 100_000)
     plan = final_plan(page)
     assert "TakeOrderedAndProject" not in plan and re.search(r"PartitionFilters: \[.*_part", plan) and "PushedFilters: [IsNotNull(_place), GreaterThanOrEqual(_place" in plan
-    assert len(page.inputFiles()) <= 16
     read = spark.read.parquet(f"{path}/rows").where(F.col("_part").isin([int(x) for x in re.findall(r"_part#\d+ (?:=|IN) \(?(\d+)", plan)]))
     assert 0 < read.select("_part").distinct().count() <= 2
-    want = sorted(((i * 7919 % 1_000_003, i) for i in range(1_000_000)), key=lambda r: (-r[0], r[1]))[999_990:]
-    assert [tuple(r) for r in page.collect()] == [(s, i, 999_991 + k) for k, (s, i) in enumerate(want)]
+    want = sorted(((i * 7919 % 200_003, i) for i in range(200_000)), key=lambda r: (-r[0], r[1]))[199_998:]
+    assert [tuple(r) for r in page.collect()] == [(s, i, 199_999 + k) for k, (s, i) in enumerate(want)]
 
 
 @pytest.mark.parametrize("order", [["a"], ["-a", "b"], ["b", "-a"]])
