@@ -25,10 +25,13 @@ def write_question_sums(df: DataFrame, sets: Sequence[Sequence[str]], path: str,
     # the grouping id has a bit for each column that a set leaves out, the first column's the highest
     left_out = lambda columns: sum(1 << k for k, name in enumerate(reversed(every)) if name not in columns)
     of = F.create_map([F.lit(x) for columns in wanted for x in (left_out(columns), _name(columns))])
-    summed.withColumn(SET, F.element_at(of, F.col("_id").cast("int"))).drop("_id").write.partitionBy(SET).parquet(path)
+    named = summed.withColumn(SET, F.element_at(of, F.col("_id").cast("int"))).drop("_id")
+    df.sparkSession.createDataFrame([], named.schema).write.parquet(f"{path}/columns")
+    named.write.partitionBy(SET).parquet(f"{path}/sums")
 
 
 def question_sums(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """(columns, count, total_popularity) of one set, read alone."""
-    found = spark.read.parquet(path).where(F.col(SET) == _name(columns))
+    schema = spark.read.parquet(f"{path}/columns").schema
+    found = spark.read.schema(schema).parquet(f"{path}/sums").where(F.col(SET) == _name(columns))
     return found.select(*columns, "count", "total_popularity")

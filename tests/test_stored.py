@@ -276,3 +276,19 @@ def test_files_of_several_headers_are_read_by_their_own(spark, tmp_path):
     (folder / "f.csv").write_text("k,v\n6,six,more\n")
     with pytest.raises(Exception, match="too many or too few"):
         read_mixed_csv(spark, str(folder), columns).collect()
+
+
+def test_empty_tables_give_empty_answers(spark, path):
+    none = spark.createDataFrame([], "year int, kind string, artist string, pop int")
+    write_search_index(none, f"{path}/search")
+    assert search_index(spark, f"{path}/search", "abc").collect() == search_index(spark, f"{path}/search", "").collect() == []
+    write_bitmaps(none, ["year"], "artist", f"{path}/bits")
+    assert [r["count"] for r in distinct_in(spark, f"{path}/bits").collect()] == [0]
+    assert distinct_in(spark, f"{path}/bits", "year").collect() == []
+    write_positions(none, ["year", "kind"], f"{path}/stack")
+    assert stack_positions(spark, f"{path}/stack", "year", "pop").collect() == []
+    write_question_sums(none, [["year"], ["kind"]], f"{path}/sums")
+    assert question_sums(spark, f"{path}/sums", "year").collect() == []
+    add_batch(none, ["year"], f"{path}/kept", "a", "pop")
+    assert merged_totals(spark, f"{path}/kept", "year").collect() == merged_counts(spark, f"{path}/kept", "year").collect() == []
+    assert classify_by_rules(none, "kind", spark.createDataFrame([(1, "a", "b")], RULES), "x").collect() == []
