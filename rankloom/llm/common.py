@@ -53,14 +53,15 @@ def place(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str = "snappy", row_group: int = 0) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back: its lineage ends there.
 
-    The folder goes when the session's JVM ends.
+    The folder goes when the session's JVM ends. row_group: bytes of Parquet's row groups, if not as set.
     """
     spark = df.sparkSession
     path = place(spark, label)
-    df.write.option("compression", compression).parquet(path)
+    writer = df.write.option("compression", compression)
+    (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(path)
     spark._jvm.System.gc()  # lets Spark drop the shuffle files of the jobs that made it, which nothing needs any more
     return spark.read.parquet(path)
 

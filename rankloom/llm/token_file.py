@@ -3,11 +3,11 @@
 write: texts are range-partitioned by key and tokenised in that order; ids are counted over all documents into one
 frequency table; each partition is cut into blocks of whole documents, and each block is one rANS stream with its own
 checkpoints and checksums. A block also names its documents, the number of ids of each, and how many ids stand before
-each in the whole file. Blocks are written in that order: a file for each partition, the files by name and the blocks in
-each by place. read: every block is decoded by itself, wherever it is.
+each in the whole file. Blocks are written in that order: partitions by the name of their folder, and the blocks of each
+by place. read: every block is decoded by itself, wherever it is.
 
-The folder holds `table` (id, slots: the shared frequencies) and `blocks` (first, keys, starts, sizes, payload); first
-is the number of ids before the block.
+The folder holds `table` (id, slots: the shared frequencies) and `blocks`/part=… (first, keys, starts, sizes, payload);
+first is the number of ids before the block, which also orders the files of a partition so large that it has several.
 It is written by Spark's committers, so a lost executor's block is written again or not at all.
 
 Defined results: a null text counts as empty and holds the end id only; null keys come first; repeated keys follow
@@ -24,6 +24,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from rankloom.llm import rans, word_bpe
 from rankloom.llm.common import binaries, mapped, stored, text_slices
@@ -31,6 +32,8 @@ from rankloom.llm.common import binaries, mapped, stored, text_slices
 FILE = "word_bpe_49k.json"
 END = 2
 BLOCK_IDS = 1 << 20
+#: Bytes up to which the ids of a part are one row group, so that one task reads them.
+ROW_GROUP = 256 << 20
 
 
 def tokenised(docs: DataFrame, key: str, text: str, path: str, end: int) -> DataFrame:
@@ -77,7 +80,7 @@ def write(
     """Write the file. The driver holds one number for each id of the vocabulary and each partition."""
     path = path or public_tokenizers.path(FILE)
     size, dtype = word_bpe.tokenizer(path).tokenizer.get_vocab_size(), word_bpe.tokenizer(path).dtype.str
-    tokens = stored(tokenised(docs, key, text, path, end), "tokens", "zstd")
+    tokens = stored(tokenised(docs, key, text, path, end), "tokens", "zstd", ROW_GROUP)
     counts = np.zeros(size, np.int64)
     for row in count_ids(tokens, size, dtype).collect():
         counts[row.id] = row.n
@@ -90,6 +93,7 @@ def write(
         at += row.n
     spark = docs.sparkSession
     spark.createDataFrame([(int(i), int(slots[i])) for i in np.flatnonzero(slots)], "id int, slots int").coalesce(1).write.parquet(f"{folder}/table")
+    docs.select(docs[key].alias("key")).limit(0).write.parquet(f"{folder}/keys")  # their type, for an empty file too
     shared = spark.sparkContext.broadcast((slots, starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +131,10 @@ def write(
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"part int, first bigint, keys array<{kind}>, starts array<bigint>, sizes array<int>, payload binary"
-    # tasks take the token files as it suits them, so blocks are dealt to one task a part, which writes one file
-    dealt = mapped(tokens, run, schema).repartitionById(1 + max(starts, default=0), F.col("part")).sortWithinPartitions("first")
-    dealt.drop("part").write.option("compression", "none").parquet(f"{folder}/blocks")
+    # tasks take the token files as it suits them; each writes to the folders of the parts that it has
+    named = mapped(tokens, run, schema).withColumn("part", F.lpad(F.col("part").cast("string"), 8, "0"))
+    ordered = named.sortWithinPartitions("part", "first")
+    ordered.write.partitionBy("part").option("compression", "none").parquet(f"{folder}/blocks")
 
 
 @lru_cache(maxsize=2)
@@ -144,7 +149,9 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     for row in rows:
         slots[row.id] = row.slots
     shared = spark.sparkContext.broadcast(slots.tobytes())
-    blocks = spark.read.parquet(f"{folder}/blocks")
+    kind = spark.read.parquet(f"{folder}/keys").schema["key"].dataType
+    fields = [("keys", ArrayType(kind)), ("starts", ArrayType(LongType())), ("sizes", ArrayType(IntegerType())), ("payload", BinaryType())]
+    blocks = spark.read.schema(StructType([StructField(*f) for f in fields])).parquet(f"{folder}/blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(shared.value)
@@ -154,6 +161,5 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
                 ids = rans.decode(part.column("payload")[k].as_py(), table).astype("<u4")
                 yield pa.RecordBatch.from_arrays([keys, starts, binaries(ids, np.cumsum(sizes.to_numpy()))], ["key", "start", "ids"])
 
-    kind = blocks.schema["keys"].dataType.elementType.simpleString()
-    found = mapped(blocks.select("keys", "starts", "sizes", "payload"), run, f"key {kind}, start bigint, ids binary")
+    found = mapped(blocks, run, f"key {kind.simpleString()}, start bigint, ids binary")
     return found.withColumnRenamed("key", key)

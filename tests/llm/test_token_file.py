@@ -61,8 +61,8 @@ def test_blocks_stand_in_order(spark, tmp_path):
         token_file.write(docs, folder, block_ids=3000)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    files = sorted(pathlib.Path(folder, "blocks").glob("part-*.parquet"))
-    blocks = [b for f in files for b in pq.read_table(f).to_pylist()]
+    files = sorted(pathlib.Path(folder, "blocks").glob("part=*/part-*.parquet"))
+    blocks = [b for f in files for b in pq.ParquetFile(f).read().to_pylist()]
     assert len(files) > 2 and len(blocks) > len(files)
     starts, keys = ([x for b in blocks for x in b[c]] for c in ("starts", "keys"))
     sizes = [x for b in blocks for x in b["sizes"]]
